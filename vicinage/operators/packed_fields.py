@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SEPARATORS = {"pipe": "|", "comma": ",", "semicolon": ";", "slash": "/", "newline": "\n", "return": "\r", "tab": "\t"}
 QUOTES = {"double": '"', "single": "'"}
 _BLANK = r"[\s\p{Z}\x{0085}\x{FEFF}]"
+#: blanks that are no separators
+_GAP = r"[\x0B\f\p{Zs}\x{0085}\x{FEFF}]"
 #: one rule per folded skeleton
 MAX_SKELETONS = 2 ** (len(SEPARATORS) + len(QUOTES) + 1)
 
@@ -43,8 +45,8 @@ def folded_skeleton(cell: Column) -> Column:
     Quoted values are masked as a whole first, so that what they hold decides
     nothing.
     """
-    edge = rf"(?:^|(?<=[|,;/\n\r\t\[])){_BLANK}*+"
-    end = rf"(?={_BLANK}*+(?:[|,;/\n\r\t\]]|$))"
+    edge = rf"(?:^|(?<=[|,;/\n\r\t\[])){_GAP}*+"
+    end = rf"(?={_GAP}*+(?:[|,;/\n\r\t\]]|\z))"
     bare = F.regexp_replace(cell, rf"({edge}){_quoted(chr(34))}{end}", '$1"')
     bare = F.regexp_replace(bare, rf"({edge}){_quoted(chr(39))}{end}", "$1'")
     marks = skeleton(_strip(bare))
@@ -62,8 +64,8 @@ def splitting_rule(folded: Column) -> list[Column]:
     separators = F.concat(*[F.when(has[n], F.lit(escapes.get(c, c))).otherwise(F.lit("")) for n, c in SEPARATORS.items()])
     # without any separator the whole cell is one value
     plain = F.when(separators == "", F.lit(r"[\s\S]++")).otherwise(F.concat(F.lit("[^"), separators, F.lit("]++")))
-    end = F.when(separators == "", F.lit(rf"{_BLANK}*+$")).otherwise(F.concat(F.lit(rf"{_BLANK}*+(?=["), separators, F.lit("]|$)")))
-    quoted = [F.when(has[n], F.concat(F.lit(rf"{_BLANK}*+{_quoted(q)}"), end, F.lit("|"))).otherwise(F.lit("")) for n, q in QUOTES.items()]
+    end = F.when(separators == "", F.lit(rf"{_GAP}*+\z")).otherwise(F.concat(F.lit(rf"{_GAP}*+(?=["), separators, F.lit("]|\\z)")))
+    quoted = [F.when(has[n], F.concat(F.lit(rf"{_GAP}*+{_quoted(q)}"), end, F.lit("|"))).otherwise(F.lit("")) for n, q in QUOTES.items()]
     return [(F.substring(folded, 1, 1) == "L").alias("is_list"), F.concat(*quoted, plain).alias("pattern")]
 
 
@@ -102,7 +104,7 @@ def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> D
     rules = cells.select("folded").distinct().select("folded", *splitting_rule(F.col("folded")))
     # bounded by MAX_SKELETONS rows, so the broadcast can't grow with the data
     ruled = cells.join(F.broadcast(rules), "folded")
-    inner = F.when(F.col("is_list"), F.regexp_replace("cell", rf"^{_BLANK}*+\[|\]{_BLANK}*+$", "")).otherwise(F.col("cell"))
+    inner = F.when(F.col("is_list"), F.regexp_replace("cell", rf"^{_BLANK}*+\[|\]{_BLANK}*+\z", "")).otherwise(F.col("cell"))
     items = F.filter(F.transform(F.regexp_extract_all(inner, F.col("pattern"), F.lit(0)), _value), lambda v: v != "")
     return ruled.select(*names, "field", F.posexplode(items).alias("__at", "item_text")).select(
         *[F.col(n).alias(k) for k, n in zip(keys, names)],
