@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vicinage.llm.contamination import leaked_items, leaked_passages
+from vicinage.llm.residue import find_residue
+from vicinage.llm.source_mix import mix_sources, mixture_shares
 from vicinage.llm.top_n import top_n_per_group
 from vicinage.sources import read_table
 
@@ -23,8 +26,50 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("candidate_id", "neighbour_id", best["rank"].alias("top_rank"))
 
 
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of a test item."""
+    return leaked_items(_passages(spark, sf_dir), exact=12)
+
+
+def p7_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least twelve words of a test item, single words replaced or not."""
+    return _passages(spark, sf_dir).filter("tolerant_words >= 12")
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the sources at their target shares."""
+    return mix_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mixture."""
+    return mixture_shares(p8_mixture(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold residue of templates or pages."""
+    return find_residue(read_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents with the kinds and the share of their residue."""
+    return find_residue(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found}
+    return {
+        "p2_found": p2_found,
+        "p7_found": p7_found,
+        "p7_tolerant": p7_tolerant,
+        "p8_mixture": p8_mixture,
+        "p8_shares": p8_shares,
+        "p9_found": p9_found,
+        "p9_residue": p9_residue,
+    }
 
 
 P2_SQL = """
@@ -34,5 +79,16 @@ SELECT candidate_id, neighbour_id, row_number() OVER (PARTITION BY candidate_id
 """
 
 
+P7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS p FROM w WHERE len(ws) >= 12),
+ig AS (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS p FROM i WHERE len(ws) >= 12),
+dh AS (SELECT doc_id, array_to_string(ws[p:p + 11], ' ') AS g FROM dg),
+ih AS (SELECT DISTINCT item_id, array_to_string(ws[p:p + 11], ' ') AS g FROM ig)
+SELECT DISTINCT doc_id, item_id FROM dh JOIN ih USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p7_found": P7_SQL}
