@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vicinage.llm.contamination import leaked_items, leaked_passages
 from vicinage.llm.residue import find_residue
+from vicinage.llm.set_join import similar_classes, similar_records
 from vicinage.llm.source_mix import mix_sources, mixture_shares
 from vicinage.llm.top_n import top_n_per_group
 from vicinage.sources import read_table
@@ -26,6 +28,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("candidate_id", "neighbour_id", best["rank"].alias("top_rank"))
 
 
+_BLANK = r"[\s\p{Z}\x{0085}\x{FEFF}]"
+
+
+def element_symbols(elements: Column) -> Column:
+    """Elements without letter case, outer blanks and charge marks; blank ones dropped."""
+
+    def symbol(e: Column) -> Column:
+        text = F.regexp_replace(e, f"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
+        text = F.regexp_replace(text, rf"{_BLANK}*+(?:\({_BLANK}*+[ivxIVX0-9]++[+\u2212-]?{_BLANK}*+\)|[0-9]*+[+\u2212-][0-9]*+)$", "")
+        return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 100)))
+
+    return F.array_distinct(F.filter(F.transform(elements, symbol), lambda e: e.isNotNull() & (e != "")))
+
+
+def _materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_table(spark, sf_dir, "material_record")
+    return records.select("jid", element_symbols(F.col("elements")).alias("symbols"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of materials of at least six elements whose sets share 0.8 of their union."""
+    pairs = similar_records(_materials(spark, sf_dir), record="jid", tokens="symbols", threshold=0.8, least_size=6)
+    return pairs.select(F.col("record_a").alias("jid_a"), F.col("record_b").alias("jid_b"))
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every material with elements, with its class of equal sets and its number of links."""
+    classes = similar_classes(_materials(spark, sf_dir), record="jid", tokens="symbols", threshold=0.8)
+    return classes.select(F.col("record").alias("jid"), "class_id", "links")
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -63,6 +96,8 @@ def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p2_found": p2_found,
+        "p4_found": p4_found,
+        "p4_classes": p4_classes,
         "p7_found": p7_found,
         "p7_tolerant": p7_tolerant,
         "p8_mixture": p8_mixture,
@@ -79,6 +114,15 @@ SELECT candidate_id, neighbour_id, row_number() OVER (PARTITION BY candidate_id
 """
 
 
+_SQL_BLANK = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+P4_SQL = rf"""
+WITH e AS (SELECT jid, unnest(elements) AS e FROM material_record),
+s AS (SELECT jid, regexp_replace(regexp_replace(e, '^{_SQL_BLANK}+|{_SQL_BLANK}+$', '', 'g'), '{_SQL_BLANK}*(\({_SQL_BLANK}*[ivxIVX0-9]+[+-]?{_SQL_BLANK}*\)|[0-9]*[+-][0-9]*)$', '') AS e FROM e WHERE e IS NOT NULL),
+t AS (SELECT DISTINCT jid, upper(e[1]) || lower(e[2:]) AS e FROM s WHERE e != ''),
+z AS (SELECT jid, count(*) AS n FROM t GROUP BY jid HAVING count(*) >= 6),
+p AS (SELECT a.jid AS jid_a, b.jid AS jid_b, count(*) AS both_n FROM t a JOIN t b USING (e) JOIN z za ON za.jid = a.jid JOIN z zb ON zb.jid = b.jid WHERE a.jid < b.jid GROUP BY 1, 2)
+SELECT p.jid_a, p.jid_b FROM p JOIN z za ON za.jid = p.jid_a JOIN z zb ON zb.jid = p.jid_b WHERE both_n * 10 >= 8 * (za.n + zb.n - both_n)
+"""
 P7_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
@@ -91,4 +135,4 @@ SELECT DISTINCT doc_id, item_id FROM dh JOIN ih USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p7_found": P7_SQL}
+    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
