@@ -6,13 +6,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinage.llm.contamination import leaked_items, leaked_passages
+from vicinage.llm.mixture_clusters import describe_clusters, linked_groups, mixture_clusters
 from vicinage.llm.residue import find_residue
 from vicinage.llm.set_join import similar_classes, similar_records
 from vicinage.llm.source_mix import mix_sources, mixture_shares
 from vicinage.llm.top_n import top_n_per_group
+from vicinage.llm.varied_subset import coverage, varied_subset
 from vicinage.sources import read_table
 
 
+MEASURES = ("local_context_support", "structural_regime_contrast")
+
+
+def _divided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = read_table(spark, sf_dir, "structural_context_batch_summary")
+    return mixture_clusters(cases, item="case_id", features=MEASURES, lowest=0.0, highest=1.0)[0]
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases in clusters of at least eight joined by differences of at most 0.0004.
+
+    The mixture divides the cases; within its clusters, and across their borders,
+    links are checked exactly.
+    """
+    groups = linked_groups(_divided(spark, sf_dir), tolerance=0.0004, least_size=8)
+    return groups.select(F.col("item").alias("case_id"), F.col("group_key").alias("cluster_key"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of the mixture with their sizes and representatives."""
+    described = describe_clusters(_divided(spark, sf_dir))
+    return described.select("cluster_id", "cluster_size", F.col("representative").alias("representative_candidate_id"), "typical_members")
+
+
+def p1_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every usable case."""
+    return _divided(spark, sf_dir).select(F.col("item").alias("case_id"), "cluster_id", "log_density")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best neighbours of every candidate."""
     best = top_n_per_group(
@@ -59,6 +90,25 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select(F.col("record").alias("jid"), "class_id", "links")
 
 
+def _varied(spark: SparkSession, sf_dir: str, size: float) -> DataFrame:
+    records = read_table(spark, sf_dir, "material_record")
+    # systems from the elements, as chemical_system may be absent or out of order; they pass through the same cleaning
+    system = F.nullif(F.array_join(F.array_sort(element_symbols(F.col("elements"))), "-"), F.lit(""))
+    family = F.nullif(F.regexp_replace(F.lower(F.trim("composition_family")), r"[\s\-]+", "_"), F.lit(""))
+    return varied_subset(records.select("jid", system.alias("system"), family.alias("family")), item="jid", fine="system", coarse="family", size=size)
+
+
+def p5_varied_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all materials, spread over systems and families."""
+    return _varied(spark, sf_dir, 0.1).select("jid", F.col("fine").alias("chemical_system"), F.col("coarse").alias("composition_family"))
+
+
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the subset covers, by family."""
+    # a size beyond any table chooses every item
+    return coverage(_varied(spark, sf_dir, 0.1), _varied(spark, sf_dir, 2**62))
+
+
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
 
@@ -95,9 +145,14 @@ def p9_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p1_found": p1_found,
+        "p1_clusters": p1_clusters,
+        "p1_assignments": p1_assignments,
         "p2_found": p2_found,
         "p4_found": p4_found,
         "p4_classes": p4_classes,
+        "p5_varied_subset": p5_varied_subset,
+        "p5_coverage": p5_coverage,
         "p7_found": p7_found,
         "p7_tolerant": p7_tolerant,
         "p8_mixture": p8_mixture,
