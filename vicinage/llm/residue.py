@@ -164,8 +164,8 @@ def residue_of(text: str) -> tuple[list[str], float]:
     touched = 0
     for unit in _UNITS.split(text):
         found = _unit_kinds(unit)
-        if not found and slots and SLOTS.search(unit):
-            found = {"slot"}
+        if slots and SLOTS.search(unit):
+            found = found | {"slot"}
         if found:
             kinds |= found
             touched += len(unit)
