@@ -67,7 +67,9 @@ def annotate(universe: DataFrame, queries: DataFrame, config: PoolConfig = PoolC
         raise ValueError(f"more than {config.queries_per_block} queries in a block")
     known = strict_flag(F.col("known_synthesized"))
     stable = F.coalesce(F.col("energy_above_hull") <= config.stable_hull, F.lit(False)) | F.coalesce(known, F.lit(False))
-    side = universe.withColumn("known_flag", known).withColumn("is_stable_or_known", stable).withColumnRenamed("jid", "candidate_id")
+    # every universe row meets all queries of the block, so the work is spread before the rows multiply
+    spread = universe.repartition(int(universe.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    side = spread.withColumn("known_flag", known).withColumn("is_stable_or_known", stable).withColumnRenamed("jid", "candidate_id")
     both = side.crossJoin(F.broadcast(queries)).filter(F.col("candidate_id") != F.col("query_id"))
     overlap = F.size(F.array_intersect("elements", "q_elements"))
     by_group = F.col("q_spacegroup_number").isNotNull()

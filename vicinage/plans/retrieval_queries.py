@@ -382,8 +382,8 @@ def _plausibility_ctes() -> str:
         f"CASE WHEN h IS NULL AND kk THEN 'known_synthesized_no_ehull' END, CASE WHEN h > {t3[0]} THEN '{P.DUBIOUS[2]}' WHEN h > {t2[0]} THEN '{t3[3]}' WHEN h > {t1[0]} THEN '{t2[3]}' END, CASE WHEN kk THEN 'known_synthesized_support' END, "
         "CASE WHEN lab = 'physically_dubious' AND kk THEN 'known_synthesized_overrides_dubious_label_to_warning' END, CASE WHEN NOT k THEN 'no_known_synthesis_support' END], lambda x: x IS NOT NULL), ';')"
     )
-    return f"""pl AS MATERIALIZED (SELECT jid, CASE WHEN coalesce(e > 0, false) AND lab2 = 'stable_or_known' AND NOT kk THEN 'metastable_or_uncertain' ELSE lab2 END AS physical_label, round(CASE WHEN e > 0 THEN least(sc, {P.POSITIVE_CAP}) ELSE sc END, 6)::DOUBLE AS physical_score, {flags} AS physical_flags,
-   round(((e IS NOT NULL)::INT + (h IS NOT NULL)::INT + (k IS NOT NULL)::INT) / 3, 6) AS physical_completeness FROM
+    return f"""pl AS MATERIALIZED (SELECT jid, CASE WHEN coalesce(e > 0, false) AND lab2 = 'stable_or_known' AND NOT kk THEN 'metastable_or_uncertain' ELSE lab2 END AS physical_label, round(CASE WHEN e > 0 THEN least(sc, {P.POSITIVE_CAP}) ELSE sc END, 9)::DOUBLE AS physical_score, {flags} AS physical_flags,
+   ((e IS NOT NULL)::INT + (h IS NOT NULL)::INT + (k IS NOT NULL)::INT) / 3.0::DOUBLE AS physical_completeness FROM
   (SELECT *, CASE WHEN lab = 'physically_dubious' AND kk THEN 'high_metastability_warning' ELSE lab END AS lab2, CASE WHEN kk THEN least(1.0, s0 + {P.KNOWN_BONUS}) ELSE s0 END AS sc FROM
   (SELECT jid, formation_energy AS e, energy_above_hull AS h, known_synthesized AS k, coalesce(known_synthesized, false) AS kk,
     CASE WHEN energy_above_hull IS NULL THEN CASE WHEN known_synthesized THEN 'stable_or_known' ELSE 'insufficient_data' END WHEN energy_above_hull <= {t1[0]} THEN '{t1[1]}' WHEN energy_above_hull <= {t2[0]} THEN '{t2[1]}' WHEN energy_above_hull <= {t3[0]} THEN '{t3[1]}' ELSE '{P.DUBIOUS[0]}' END AS lab,
@@ -427,9 +427,9 @@ def oracle_sql() -> dict[str, str]:
     out["coverage"] = f"{pool} {cov}"
     out["pool_summary"] = f"{pool} SELECT query_id, pool_name, count(*) AS n, {', '.join(f'count(DISTINCT {c}) AS distinct_{c}' for c in ('chemical_system', 'composition_family', 'material_family', 'formula_family', 'prototype_family'))}, sum(is_stable_or_known::INT)::BIGINT AS stable_count, round(avg(selection_score), 6) AS mean_score, sum((missing_fields != '')::INT)::BIGINT AS rows_with_missing FROM p GROUP BY 1, 2"
     plaus = f"{uni}, {_plausibility_ctes()}"
-    out["plausibility_records"] = f"{plaus} SELECT * FROM pl"
+    out["plausibility_records"] = f"{plaus} SELECT jid, physical_label, round(physical_score, 6) AS physical_score, physical_flags, round(physical_completeness, 6) AS physical_completeness FROM pl"
     out["plausibility_pairs"] = f"{plaus} SELECT candidate_id, neighbour_id, pair_label, round(pair_score, 6) AS pair_score, round(pair_completeness, 6) AS pair_completeness FROM pp WHERE pair_label IN ('plausible_pair', 'plausible_but_uncertain', 'insufficient_data')"
-    out["plausibility_summary"] = f"{plaus}, o AS (SELECT *, row_number() OVER (ORDER BY candidate_id, neighbour_id) AS at FROM pp) SELECT pair_label, count(*) AS n, sum((at <= 50)::INT)::BIGINT AS n_head, round(avg(pair_score), 6) AS mean_score, round(avg(pair_completeness), 6) AS mean_completeness, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM o GROUP BY 1"
+    out["plausibility_summary"] = f"{plaus}, o AS (SELECT *, row_number() OVER (ORDER BY candidate_id, neighbour_id) AS pos FROM pp) SELECT pair_label, count(*) AS n, sum((pos <= 50)::INT)::BIGINT AS n_head, round(avg(pair_score), 6) AS mean_score, round(avg(pair_completeness), 6) AS mean_completeness, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM o GROUP BY 1"
     stats = f"{uni}, {_stats_ctes()}"
     out["feature_stats"] = f"{stats} SELECT feature, n, round(mean, 6) AS mean, round(std, 6) AS std FROM fs"
     four = ("band_gap", "formation_energy", "density_feature", "spacegroup_number")
