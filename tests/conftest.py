@@ -11,6 +11,8 @@ from vicinage.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, memory="4g", app="tests")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    # tables of a few rows: compiling their plans would take most of the time
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     yield session
     session.stop()

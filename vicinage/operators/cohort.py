@@ -130,7 +130,7 @@ def compare_all(pools: DataFrame, wide: DataFrame, profiles: DataFrame, *, measu
     """All pairs of the queries of ``profiles`` (query_id, measures, reliability, labels) with their similarities."""
     ids = profiles.select("query_id").distinct()
     pairs = cut_lineage(_all_pairs(ids, limit))
-    keep = ["query_id", *measures, reliability, "chemistry"]
+    keep = list(dict.fromkeys(["query_id", *measures, reliability, "chemistry"]))
     chemistry = F.struct("q_elements", "q_composition_family", "q_formula_family", "q_prototype_family", "q_structure_variant", F.col("q_crystal_system_code").cast("string").alias("q_crystal_system"))
     told = profiles.withColumn("chemistry", chemistry).select(*keep)
     left = told.select(F.col("query_id").alias("a"), F.struct(*keep[1:]).alias("pa"))
@@ -261,7 +261,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
         return rows.join(counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
 
     both = ranked(ranked(rows, "x"), "y")
-    return both.agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n")).withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    moments = both.agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.count(F.lit(1)).alias("n"))
+    return moments.select(F.try_divide("c", F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0))).alias("rho"), "n")
 
 
 def explain_pairs(pairs: DataFrame) -> DataFrame:
