@@ -44,11 +44,11 @@ def distinct_sets(records: DataFrame, *, record: str, tokens: str, least_size: i
 
     Token order and repetition don't matter; null tokens don't count. Records
     with a null id or array have no set. Both tables carry the set's ``set_id``,
-    a 128-bit hash of its sorted tokens as text.
+    a 128-bit hash of its sorted tokens as 16 bytes.
     """
     rows = records.select(records[record].alias("record"), F.array_sort(F.array_distinct(F.array_compact(records[tokens].cast("array<string>")))).alias("tokens"))
     rows = rows.filter(F.col("record").isNotNull() & (F.size("tokens") >= least_size))
-    rows = rows.withColumn("set_id", F.md5(F.to_json(F.struct("tokens"))))
+    rows = rows.withColumn("set_id", F.unhex(F.md5(F.to_json(F.struct("tokens")))))
     members = rows.select("set_id", "record").distinct()
     sets = rows.groupBy("set_id").agg(F.first("tokens").alias("tokens"))
     return sets, members
@@ -182,5 +182,5 @@ def similar_classes(records: DataFrame, *, record: str, tokens: str, threshold:
     return (
         members.join(sizes, "set_id")
         .join(linked, "set_id", "left")
-        .select("record", F.col("set_id").alias("class_id"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
+        .select("record", F.lower(F.hex("set_id")).alias("class_id"), (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("links"))
     )
