@@ -40,9 +40,9 @@ def random_sets(seed, n, tokens, longest):
     return sets
 
 
-@pytest.mark.parametrize("threshold,least,leaf", [(0.8, 1, 4), (0.8, 6, 16), (0.6, 2, 8)])
+@pytest.mark.parametrize("threshold,least,leaf", [(0.8, 1, 10), (0.6, 4, 16)])
 def test_join_against_brute_force(spark, threshold, least, leaf):
-    sets = random_sets(3, 350, 40, 14)
+    sets = random_sets(3, 200, 40, 14)
     rows = [(r, sorted(s, key=lambda t: hash((r, t))) + sorted(s)[:1] + [None], "clash") for r, s in sets.items()]
     df = spark.createDataFrame(rows, "id string, tags array<string>, set_id string")
     got = similar_records(df, record="id", tokens="tags", threshold=threshold, least_size=least, leaf=leaf)
@@ -50,7 +50,7 @@ def test_join_against_brute_force(spark, threshold, least, leaf):
 
 
 def test_classes_count_links(spark):
-    sets = random_sets(4, 150, 20, 9)
+    sets = random_sets(4, 80, 20, 9)
     df = spark.createDataFrame([(r, sorted(s)) for r, s in sets.items()], "id string, tags array<string>")
     links = {r["record"]: r["links"] for r in similar_classes(df, record="id", tokens="tags", threshold=0.8, leaf=8).collect()}
     want = dict.fromkeys((r for r, s in sets.items() if s), 0)
@@ -70,9 +70,9 @@ def test_hot_set_and_odd_rows(spark):
 
 
 def test_sampled_trees_reach_their_recall(spark):
-    sets = random_sets(6, 250, 40, 12)
+    sets = random_sets(6, 120, 40, 12)
     df = spark.createDataFrame([(r, sorted(s)) for r, s in sets.items()], "id string, tags array<string>")
-    got = {(r["record_a"], r["record_b"]) for r in similar_records(df, record="id", tokens="tags", threshold=0.8, leaf=8, follow=0.5, sampled_recall=0.9).collect()}
+    got = {(r["record_a"], r["record_b"]) for r in similar_records(df, record="id", tokens="tags", threshold=0.8, leaf=30, follow=0.5, sampled_recall=0.9).collect()}
     want = set(brute(sets, 0.8, 1))
     assert got <= want and len(got) >= 0.9 * len(want)
     assert trees_for(0.9, 0.8, 1.0, 3) == 1 < trees_for(0.9, 0.8, 0.5, 3)

@@ -146,7 +146,7 @@ def test_clean(text):
 
 
 def test_residue_table(spark):
-    texts = [t for t, _ in RESIDUE] + CLEAN + [None, "word " * 200_000 + "404 Not Found"]
+    texts = [t for t, _ in RESIDUE] + CLEAN + [None, "word " * 200_000 + "\n404 Not Found"]
     rows = [(i, t, "k", 0.5) for i, t in enumerate(texts)] + [(0, texts[0], "k", 0.5), (None, "404 Not Found", "k", 0.5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kinds string, coverage double")
     found = find_residue(df).collect()
