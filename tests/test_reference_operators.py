@@ -20,6 +20,7 @@ from vicinage.operators import retrieval as R
 from vicinage.operators import roles as Q
 from vicinage.operators import universe as U
 from vicinage.operators.components import connected_components
+from vicinage.session import cut_lineage
 from vicinage.sources import external as E
 from vicinage.streaming import queries as T
 
@@ -99,10 +100,11 @@ def greedy(rows, size, quota):
 
 
 def test_pools_against_greedy_scan(spark):
-    base = small_universe(spark)
-    queries = R.query_rows(base.filter("jid < 'm003'"))
+    base = cut_lineage(small_universe(spark))
+    queries = cut_lineage(R.query_rows(base.filter("jid < 'm003'")))
     config = R.PoolConfig(quotas=dict.fromkeys(R.POOLS, 2)).with_sizes(same_family=9, adjacent_family=9, boundary_contrast=9, wildcard=6, negative_control=4)
-    pools = R.all_pools(base, queries, config).collect()
+    table = cut_lineage(R.all_pools(base, queries, config))
+    pools = table.collect()
     rows = [r.asDict() for r in R.annotate(base, queries, config).withColumns({f"s_{n}": F.round(s, 9) for n, s in R.scores().items()} | {f"e_{n}": e for n, e in R.eligibility(config).items()} | {f"j_{n}": S.stable_fraction(config.seed + R.SEED_OFFSETS[n], F.col("candidate_id")) for n in R.POOLS}).collect()]
     for q in ("m000", "m001", "m002"):
         taken = set()
@@ -113,9 +115,8 @@ def test_pools_against_greedy_scan(spark):
             got = [p["candidate_id"] for p in sorted((p for p in pools if p["query_id"] == q and p["pool_name"] == name), key=lambda p: p["rank_in_pool"])]
             assert got == greedy(order, config.sizes[name], 2), (q, name)
             taken |= set(got)
-    metrics = M.metrics(R.all_pools(base, queries, config))
-    independence, overlaps, missing = (f(R.all_pools(base, queries, config)) for f in (M.independence, M.overlaps, lambda p: M.missing_report(p, ["formula", "band_gap", "nowhere"])))
-    wide = Q.by_query(metrics)
+    independence, overlaps, missing = M.independence(table), M.overlaps(table), M.missing_report(table, ["formula", "band_gap", "nowhere"])
+    wide = cut_lineage(Q.by_query(M.metrics(table)))
     concepts = Q.named_concepts(wide, independence, missing).collect()
     scored = Q.role_scores(wide, queries, overlaps, independence, missing).collect()
     assert len(concepts) == len(scored) == 3 and all(0 <= r["hub_score"] <= 1 and r["primary_role"] in ("hub", "boundary", "other") for r in scored)
@@ -262,7 +263,7 @@ def test_structures_and_results(spark, tmp_path):
 
 
 def test_stream_of_queries(spark, tmp_path):
-    base = small_universe(spark, 30)
+    base = cut_lineage(small_universe(spark, 30))
     source = tmp_path / "in"
     source.mkdir()
     for i in range(2):

@@ -14,39 +14,48 @@ from vicinage.operators import pool_metrics as M
 from vicinage.operators import roles as Q
 from vicinage.operators import universe as U
 from vicinage.plans import retrieval_queries as P
+from vicinage.plans.views import session_view
 from vicinage.session import cut_lineage
 from vicinage.sources import read_table
 
 
+@session_view
 def _evidence(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    base = cut_lineage(P.universe(spark, sf_dir))
-    queries = cut_lineage(P.controls(spark, sf_dir, base))
-    pools = cut_lineage(P.R.in_blocks(base, queries, P.CONFIG))
+    pools = P.pools(spark, sf_dir)
     wide = cut_lineage(Q.by_query(M.metrics(pools)))
-    return {"pools": pools, "queries": queries, "wide": wide, "independence": M.independence(pools), "overlaps": M.overlaps(pools), "missing": M.missing_report(pools, P.REPORTED)}
+    return {"pools": pools, "queries": P.controls(spark, sf_dir), "wide": wide, "independence": M.independence(pools), "overlaps": M.overlaps(pools), "missing": M.missing_report(pools, P.REPORTED)}
 
 
-def _roles(e: dict[str, DataFrame]) -> DataFrame:
-    return Q.role_scores(e["wide"], e["queries"], e["overlaps"], e["independence"], e["missing"])
+@session_view
+def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _evidence(spark, sf_dir)
+    return cut_lineage(Q.role_scores(e["wide"], e["queries"], e["overlaps"], e["independence"], e["missing"]))
 
 
+@session_view
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evidence(spark, sf_dir)
-    profiles = _roles(e).join(e["queries"], "query_id")
+    profiles = _roles(spark, sf_dir).join(e["queries"], "query_id")
     return cut_lineage(H.compare_all(e["pools"], e["wide"], profiles, measures=("hub_score", "boundary_score", "sufficiency", "profile_confidence"), reliability="profile_confidence"))
 
 
+@session_view
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(H.filled(H.both_ways(_pairs(spark, sf_dir), "combined_similarity")))
 
 
+@session_view
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(K.cluster_cohort(_long(spark, sf_dir)))
+
+
 def q_named_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _evidence(spark, sf_dir)
     return P._rounded(Q.long_concepts(Q.named_concepts(e["wide"], e["independence"], e["missing"])))
 
 
 def q_role_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P._rounded(_roles(_evidence(spark, sf_dir)))
+    return P._rounded(_roles(spark, sf_dir))
 
 
 def q_bridge_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +64,7 @@ def q_bridge_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint's distinct references and the size of each pool."""
-    f = H.fingerprint(P._written_pools(spark, sf_dir))
+    f = H.fingerprint(P.pools(spark, sf_dir))
     return f.select("query_id", F.size("all_unique_reference_ids").alias("unique_references"), F.explode("pools").alias("pool_name", "pool")).select(
         "query_id", "unique_references", "pool_name", F.col("pool.row_count").alias("row_count"), F.element_at("pool.reference_ids_ranked", 1).alias("first_reference")
     )
@@ -66,12 +75,12 @@ def _id_pairs(pools: DataFrame) -> DataFrame:
 
 
 def q_identity_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = P._written_pools(spark, sf_dir)
+    pools = P.pools(spark, sf_dir)
     return P._rounded(H.identity_similarity(pools, _id_pairs(pools)).select("a", "b", "all_reference_jaccard", "identity_similarity"))
 
 
 def q_distribution_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pools = P._written_pools(spark, sf_dir)
+    pools = P.pools(spark, sf_dir)
     return P._rounded(H.distribution_similarity(pools, _id_pairs(pools)).select("a", "b", "distribution_similarity"))
 
 
@@ -94,13 +103,13 @@ def q_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cohort_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average-linkage clusters with each member's closeness to its own and the next cluster."""
     long = _long(spark, sf_dir)
-    labels = cut_lineage(K.cluster_cohort(long))
+    labels = _labels(spark, sf_dir)
     return P._rounded(H.between_clusters(long, labels))
 
 
 def q_cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _long(spark, sf_dir)
-    labels = cut_lineage(K.cluster_cohort(long))
+    labels = _labels(spark, sf_dir)
     reliability = labels.select("id", F.lit(1.0).alias("reliability"))
     return P._rounded(H.cluster_summary(long, labels, reliability))
 
@@ -110,7 +119,7 @@ def q_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_reference_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.reference_frequency(P._written_pools(spark, sf_dir))
+    return H.reference_frequency(P.pools(spark, sf_dir))
 
 
 def q_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +163,7 @@ def q_composition_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_element_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Element overlap of all stored neighbour pairs."""
-    sets = cut_lineage(P.universe(spark, sf_dir).select("jid", "elements"))
+    sets = P.universe(spark, sf_dir).select("jid", "elements")
     pairs = read_table(spark, sf_dir, "nearest_contextual_neighbours_1c2").select("candidate_id", "neighbour_id").distinct()
     both = pairs.join(sets.select(F.col("jid").alias("candidate_id"), F.col("elements").alias("x")), "candidate_id").join(sets.select(F.col("jid").alias("neighbour_id"), F.col("elements").alias("y")), "neighbour_id")
     return P._rounded(both.select("candidate_id", "neighbour_id", S.pair_key(F.col("candidate_id"), F.col("neighbour_id")).alias("pair_key"), X.jaccard(F.col("x"), F.col("y")).alias("jaccard")))

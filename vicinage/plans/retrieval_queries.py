@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinage.functions.chemistry import BATTERY_SPINELS, CHALCOGENS, CRYSTAL_SYSTEM_ENDS, FLUORITE_CATIONS, HALOGENS, KNOWN_PYROCHLORES, KNOWN_SPINELS, MIXED_VALENCE_SPINELS, NONMETALS, OXIDE_RULES
+from vicinage.functions.chemistry import BATTERY_SPINELS, CHALCOGENS, CRYSTAL_SYSTEM_ENDS, FLUORITE_CATIONS, HALOGENS, KNOWN_PYROCHLORES, KNOWN_SPINELS, MIXED_VALENCE_SPINELS, NONMETALS, OXIDE_RULES, crystal_system_code
 from vicinage.operators import plausibility as P
 from vicinage.operators import pool_metrics as M
 from vicinage.operators import retrieval as R
 from vicinage.operators import universe as U
+from vicinage.plans.views import session_view
 from vicinage.session import cut_lineage
 from vicinage.sources import read_table
 
@@ -17,32 +18,29 @@ REPORTED = ("formula", "spacegroup_symbol", *R.FLAGS, "spacegroup_number", "crys
 CONFIG = R.PoolConfig()
 
 
+@session_view
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The universe of all materials, deduplicated, with known statuses and family labels."""
     records = U.prepare(read_table(spark, sf_dir, "material_record"), keep=["loaded_at"])
     first = U.union_universe([records], first_by=["loaded_at"]).drop("loaded_at")
     known = U.last_status(read_table(spark, sf_dir, "candidate_pool"), key="candidate_jid", status="known_synthesized", order=["loaded_at"])
-    return U.with_families(U.known_overlay(first, known.withColumnRenamed("candidate_jid", "jid")))
+    return cut_lineage(U.with_families(U.known_overlay(first, known.withColumnRenamed("candidate_jid", "jid"))))
 
 
-def controls(spark: SparkSession, sf_dir: str, of: DataFrame) -> DataFrame:
+@session_view
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The control materials as queries; each takes the most common space group of its composition family."""
     prepared = U.prepare(read_table(spark, sf_dir, "control_materials"))
-    common = of.filter("spacegroup_number is not null").groupBy("composition_family", "spacegroup_number").count()
+    common = universe(spark, sf_dir).filter("spacegroup_number is not null").groupBy("composition_family", "spacegroup_number").count()
     common = common.groupBy("composition_family").agg(F.min_by("spacegroup_number", F.struct(-F.col("count"), F.col("spacegroup_number"))).alias("sg"))
     seated = prepared.join(common, "composition_family", "left").withColumn("spacegroup_number", F.coalesce("spacegroup_number", "sg")).drop("sg")
-    from vicinage.functions.chemistry import crystal_system_code
-
-    return R.query_rows(U.with_families(seated.withColumn("crystal_system_code", crystal_system_code(F.col("spacegroup_number")))))
+    return cut_lineage(R.query_rows(U.with_families(seated.withColumn("crystal_system_code", crystal_system_code(F.col("spacegroup_number"))))))
 
 
+@session_view
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = cut_lineage(universe(spark, sf_dir))
-    return R.in_blocks(base, cut_lineage(controls(spark, sf_dir, base)), CONFIG)
-
-
-def _written_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_lineage(pools(spark, sf_dir))
+    """The five pools of all control materials."""
+    return cut_lineage(R.in_blocks(universe(spark, sf_dir), controls(spark, sf_dir), CONFIG))
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -70,49 +68,49 @@ def _one_pool(name: str):
 
 def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match rates of every query against the whole universe."""
-    base = universe(spark, sf_dir)
-    both = R.annotate(base, controls(spark, sf_dir, base), CONFIG)
+    both = R.annotate(universe(spark, sf_dir), controls(spark, sf_dir), CONFIG)
     return _rounded(both.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"same_{c}").cast("long")).alias(f"same_{c}") for c in R.FLAGS], F.sum("element_overlap_count").alias("overlap"), F.sum(F.col("symmetry_match").cast("long")).alias("symmetry_matches"), F.avg("symmetry_distance").alias("mean_distance")))
 
 
 def q_pool_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.metrics(_written_pools(spark, sf_dir)))
+    return _rounded(M.metrics(pools(spark, sf_dir)))
 
 
 def q_pool_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.entropies(M.value_counts(_written_pools(spark, sf_dir), M.CATEGORIES)))
+    return _rounded(M.entropies(M.value_counts(pools(spark, sf_dir), M.CATEGORIES)))
 
 
 def q_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.top_categories(M.value_counts(_written_pools(spark, sf_dir), M.CATEGORIES, meaningful=True)))
+    return _rounded(M.top_categories(M.value_counts(pools(spark, sf_dir), M.CATEGORIES, meaningful=True)))
 
 
 def q_missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.missing_report(_written_pools(spark, sf_dir), REPORTED))
+    return _rounded(M.missing_report(pools(spark, sf_dir), REPORTED))
 
 
 def q_pool_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.overlaps(_written_pools(spark, sf_dir))
+    return M.overlaps(pools(spark, sf_dir))
 
 
 def q_pool_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.independence(_written_pools(spark, sf_dir)))
+    return _rounded(M.independence(pools(spark, sf_dir)))
 
 
 def q_top_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.top_references(_written_pools(spark, sf_dir)))
+    return _rounded(M.top_references(pools(spark, sf_dir)))
 
 
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.coverage(_written_pools(spark, sf_dir), ["prototype_family", "structure_variant", "formula_family", "composition_family"]))
+    return _rounded(M.coverage(pools(spark, sf_dir), ["prototype_family", "structure_variant", "formula_family", "composition_family"]))
 
 
 def q_pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(M.pool_summary(_written_pools(spark, sf_dir)))
+    return _rounded(M.pool_summary(pools(spark, sf_dir)))
 
 
+@session_view
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.annotate_records(universe(spark, sf_dir))
+    return cut_lineage(P.annotate_records(universe(spark, sf_dir)))
 
 
 def q_plausibility_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +144,9 @@ def q_zscore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(U.feature_matrix(universe(spark, sf_dir), ("band_gap", "formation_energy", "density_feature", "spacegroup_number")))
 
 
+@session_view
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = cut_lineage(universe(spark, sf_dir))
+    base = universe(spark, sf_dir)
     pairs = _neighbour_pairs(spark, sf_dir).select(F.col("candidate_id").alias("jid_a"), F.col("neighbour_id").alias("jid_b")).filter("jid_a != jid_b")
     return cut_lineage(U.signed_deltas(pairs, base, U.feature_stats(base, FEATURES), FEATURES))
 
