@@ -1,10 +1,11 @@
 """Passages of held-out texts inside a corpus.
 
 A *spaced seed* looks at some word positions of a window and ignores the rest.
-The three seeds here ignore a third of twelve positions each, and every position
-is ignored by one of them: a window of twelve equal words is hit by all, and one
-with a single word replaced is hit by at least one. Hits are only candidates;
-each is verified word by word along its alignment.
+Two seeds are used, which ignore every third word: ``11011011011`` and
+``101101101101``. A run of twelve equal words holds the first seed at two starts
+and the second at one, and each of the twelve places is ignored by one of these
+three: the run is hit even if any single word of it is replaced. Hits are only
+candidates; each is verified word by word along its alignment.
 """
 
 from __future__ import annotations
@@ -20,10 +21,6 @@ from vicinage.session import cut_lineage
 WINDOW = 12
 #: window starts per block of a document
 BLOCK = 2048
-#: positions that each seed looks at
-SEEDS = tuple(tuple(p for p in range(WINDOW) if p % 3 != ignored) for ignored in range(3))
-
-
 @dataclass(frozen=True)
 class Limits:
     """``broadcast_seeds``: the item side is broadcast up to so many seed hashes
@@ -33,21 +30,36 @@ class Limits:
 
 
 def seed_hashes(codes: Column) -> Column:
-    """All seed hashes of a word sequence: array of (seed, position, hash).
+    """The hashes of both seeds at every start: array of (pos, first, second).
 
-    Sequences shorter than the window have none.
+    ``second`` is null at the last start, which has room for the shorter seed
+    only. Sequences shorter than the window have none. Both seeds look at pairs
+    of neighbouring words, whose hashes are made once for all starts.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.size(codes) - WINDOW, F.lit(0)))
-
-    def at(start: Column) -> Column:
-        return F.array(
-            *[
-                F.struct(F.lit(k).cast("byte").alias("seed"), start.cast("int").alias("pos"), F.xxhash64(F.lit(k), *[F.get(codes, start + p) for p in seed]).alias("hash"))
-                for k, seed in enumerate(SEEDS)
-            ]
+    pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    held = F.struct(codes.alias("one"), pairs.alias("two"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(codes) - WINDOW + 1, F.lit(0)))
+
+    def at(words: Column) -> Column:
+        one, two = words["one"], words["two"]
+        return F.transform(
+            starts,
+            lambda i: F.struct(
+                i.cast("int").alias("pos"),
+                F.xxhash64(F.lit(0), *[F.get(two, i + p) for p in (0, 3, 6, 9)]).alias("first"),
+                F.when(i <= F.size(one) - WINDOW, F.xxhash64(F.lit(1), F.get(one, i), *[F.get(two, i + p) for p in (2, 5, 8)], F.get(one, i + 11))).alias("second"),
+            ),
         )
 
-    return F.when(F.size(codes) >= WINDOW, F.flatten(F.transform(starts, at))).otherwise(F.array().cast("array<struct<seed:tinyint,pos:int,hash:bigint>>"))
+    # a one-element array names the pairs, so that they aren't made again at every start
+    named = F.flatten(F.transform(F.array(held), at))
+    return F.when(F.size(codes) >= WINDOW, named).otherwise(F.array().cast("array<struct<pos:int,first:bigint,second:bigint>>"))
+
+
+def _unpacked(rows: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """One row per hash: keys, ``pos`` and ``hash``; ``rows`` has the array in ``s``."""
+    starts = rows.select(*keys, at.alias("__at"), F.explode("s").alias("s"))
+    return starts.select(*keys, (F.col("__at") + F.col("s.pos")).alias("pos"), F.explode(F.array("s.first", "s.second")).alias("hash")).filter(F.col("hash").isNotNull())
 
 
 def _alignment(doc: Column, item: Column, shift: Column) -> Column:
@@ -119,17 +131,15 @@ def leaked_passages(
     docs = corpus.select(corpus[doc_id].alias("doc"), corpus[text].alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     held = items.select(items[item_id].alias("item"), word_codes(items[text]).alias("item_codes")).filter(F.col("item").isNotNull() & F.col("item_codes").isNotNull()).distinct()
     held = cut_lineage(held)
-    seeds = held.select("item", F.explode(seed_hashes(F.col("item_codes"))).alias("s")).select("item", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"), F.col("s.hash").alias("hash")).distinct()
+    seeds = _unpacked(held.select("item", seed_hashes(F.col("item_codes")).alias("s")), ["item"], F.lit(0)).withColumnRenamed("pos", "item_pos").distinct()
     small = seeds.count() <= limits.broadcast_seeds
     side = F.broadcast(seeds) if small else seeds
     # long texts are hashed in overlapping blocks of bounded length
     coded = docs.select("doc", word_codes(F.col("text")).alias("codes"))
     blocks = coded.select("doc", "codes", F.explode(F.sequence(F.lit(0), F.greatest(F.size("codes") - WINDOW, F.lit(0)), F.lit(BLOCK))).alias("at"))
     blocks = blocks.select("doc", "at", F.slice("codes", F.col("at") + 1, F.lit(BLOCK + WINDOW - 1)).alias("codes"))
-    hashes = blocks.select("doc", "at", F.explode(seed_hashes(F.col("codes"))).alias("s")).select(
-        "doc", F.col("s.seed").alias("seed"), (F.col("at") + F.col("s.pos")).alias("pos"), F.col("s.hash").alias("hash")
-    )
-    hits = hashes.join(side, ["seed", "hash"]).select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hashes = _unpacked(blocks.select("doc", "at", seed_hashes(F.col("codes")).alias("s")), ["doc"], F.col("at"))
+    hits = hashes.join(side, "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = cut_lineage(hits)
     # documents without a hit leave before their words are counted again
     texts = docs.join(hits.select("doc").distinct(), "doc", "left_semi").select("doc", word_codes(F.col("text")).alias("codes"))
