@@ -162,6 +162,13 @@ def queries() -> dict:
     }
 
 
+P1_SQL = """
+WITH RECURSIVE c AS (SELECT case_id, min(local_context_support) AS x, min(structural_regime_contrast) AS y FROM structural_context_batch_summary
+  WHERE case_id IS NOT NULL AND local_context_support BETWEEN 0 AND 1 AND structural_regime_contrast BETWEEN 0 AND 1 GROUP BY 1),
+e AS MATERIALIZED (SELECT a.case_id AS u, b.case_id AS v FROM c a JOIN c b ON abs(round((a.x - b.x) * 1000000)) <= 400 AND abs(round((a.y - b.y) * 1000000)) <= 400),
+r AS (SELECT case_id AS u, case_id AS v FROM c UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT u AS case_id, min(v) AS cluster_key FROM r GROUP BY u HAVING count(*) >= 8
+"""
 P2_SQL = """
 WITH b AS (SELECT candidate_id, neighbour_id, max(combined_context_similarity) AS s FROM nearest_contextual_neighbours_1c2
            WHERE combined_context_similarity BETWEEN 0 AND 1 AND NOT isnan(combined_context_similarity) AND candidate_id != neighbour_id GROUP BY 1, 2)
@@ -190,4 +197,4 @@ SELECT DISTINCT doc_id, item_id FROM dh JOIN ih USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
