@@ -178,6 +178,7 @@ def residue_of(text: str) -> tuple[list[str], float]:
                 touched += len(unit)
         if slots:
             kinds.add("slot")
+            touched += sum(len(m.group()) for m in SLOTS.finditer(text))
     return sorted(kinds), min(1.0, touched / max(1, len(text.strip())))
 
 
