@@ -86,5 +86,13 @@ def test_profile_of_loads(spark):
     assert profile_loads(loads(spark, []), KEYS, RULES).count() == 0 and issues(loads(spark, [])) == set()
 
 
+def test_distinct_values_of_a_distribution_field(spark):
+    # seven values in two masks, one of them repeated, and one missing
+    kinds = ["ab", "cd", "ef", "gh", "ij", "k1", "k2", "ab", None]
+    df = loads(spark, rows_of("a", 1, 1, n=9, kind=lambda i: kinds[i]))
+    got = {r["field"]: r["distinct_values"] for r in profile_loads(df, KEYS, RULES).collect()}
+    assert got["kind"] == 7 and got["name"] == 1
+
+
 def test_rules_of_the_pools():
     assert len(POOL_RULES) == 15

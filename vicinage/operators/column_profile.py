@@ -198,8 +198,9 @@ def profile_loads(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule],
     """One row per (load, part, field): the quality profile.
 
     Columns: the load and part columns, ``field``, ``n_rows``, ``missing_count``,
-    ``missing_rate``, ``distinct_values`` (approximate: a sketch of 5 % error per
-    mask, summed over masks), ``low``/``high`` (numbers) or
+    ``missing_rate``, ``distinct_values`` (exact for fields with ``distribution``,
+    which have a row per value; else a sketch of 5 % error per mask, summed over
+    masks), ``low``/``high`` (numbers) or
     ``low_text``/``high_text``, ``out_of_range``, ``bad_format``,
     ``dominant_mask``, ``rare_mask_values`` (values whose mask holds less than
     ``rare_share`` of the field over all loads), ``missing_rate_change`` and
@@ -217,7 +218,7 @@ def profile_loads(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule],
     masks = (
         counts.filter(F.col("mask").isNotNull())
         .groupBy("load", "part", "field", "mask")
-        .agg(F.sum("n").alias("n"), F.max("distinct_in_mask").alias("d"))
+        .agg(F.sum("n").alias("n"), F.sum("distinct_in_mask").alias("d"))
         .join(rare, ["field", "mask"], "left")
         .groupBy("load", "part", "field")
         .agg(
