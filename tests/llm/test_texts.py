@@ -74,6 +74,33 @@ def test_single_replaced_word_is_bridged(spark):
         assert best["substitutions"] == (1 if 5 <= hole else 0)
 
 
+def brute_stretch(equal, bridge):
+    best = 0
+    for i in range(len(equal)):
+        for j in range(i, len(equal)):
+            holes = [k for k in range(i, j + 1) if not equal[k]]
+            if equal[i] and equal[j] and all(b - a > bridge for a, b in zip(holes, holes[1:])):
+                best = max(best, j - i + 1)
+    return best
+
+
+def test_every_place_of_a_run_of_twelve_may_be_replaced(spark):
+    item = [f"q{i}" for i in range(12)]
+    docs = [(hole, " ".join(["lead", *item[:hole], "zzz", *item[hole + 1 :], "tail"])) for hole in range(12)]
+    got = {r["doc_id"]: (r["tolerant_words"], r["substitutions"]) for r in leaked_passages(*frames(spark, docs, [(7, " ".join(item))])).collect()}
+    # a stretch ends in equal words: at the edge, eleven are left
+    assert got == {hole: (11, 0) if hole in (0, 11) else (12, 1) for hole in range(12)}
+
+
+def test_tolerant_stretch_against_brute_force(spark):
+    rng = random.Random(4)
+    item = [f"q{i}" for i in range(60)]
+    equal = [[i in range(20, 32) or rng.random() < 0.8 for i in range(60)] for _ in range(40)]
+    docs = [(d, " ".join(w if e else "zzz" for w, e in zip(item, row))) for d, row in enumerate(equal)]
+    got = {r["doc_id"]: r["tolerant_words"] for r in leaked_passages(*frames(spark, docs, [(7, " ".join(item))])).filter("shift = 0").collect()}
+    assert got == {d: brute_stretch(row, 5) for d, row in enumerate(equal)}
+
+
 def test_leaks_of_nothing(spark):
     d, i = frames(spark, [], [])
     assert leaked_passages(d, i).count() == 0

@@ -73,18 +73,21 @@ def _alignment(doc: Column, item: Column, shift: Column) -> Column:
 
 
 def _runs(equal: Column, tolerance: int) -> Column:
-    """Longest run of equal words, and longest stretch in which two unequal words
-    are never closer than ``tolerance`` equal ones: (exact, tolerant, substitutions)."""
+    """Longest run of equal words, and longest stretch from an equal word to an equal
+    word in which at least ``tolerance`` equal ones lie between any two unequal
+    ones: (exact, tolerant, substitutions)."""
     zero = F.lit(0)
     start = F.struct(zero.alias("run"), zero.alias("best"), zero.alias("span"), zero.alias("since"), zero.alias("subs"), zero.alias("best_span"), zero.alias("best_subs"))
 
     def step(a: Column, e: Column) -> Column:
         run = F.when(e, a["run"] + 1).otherwise(0)
-        # an unequal word is bridged when enough equal ones came before it
-        bridged = ~e & (a["since"] >= tolerance)
-        span = F.when(e | bridged, a["span"] + 1).otherwise(0)
+        # the first unequal word of a stretch is bridged, a later one when enough
+        # equal ones lie between; else the stretch starts anew after the one before
+        bridged = (a["span"] > 0) & ((a["subs"] == 0) | (a["since"] >= tolerance))
+        anew = a["since"] > 0
+        span = F.when(e | bridged, a["span"] + 1).when(anew, a["since"] + 1).otherwise(0)
         since = F.when(e, a["since"] + 1).otherwise(0)
-        subs = F.when(e, a["subs"]).when(bridged, a["subs"] + 1).otherwise(0)
+        subs = F.when(e, a["subs"]).when(bridged, a["subs"] + 1).when(anew, 1).otherwise(0)
         # a stretch ends in an equal word
         better = e & (span > a["best_span"])
         return F.struct(
@@ -115,7 +118,8 @@ def leaked_passages(
     Columns: ``doc_id``, ``item_id``, ``shift`` (place of the item's first word in
     the document), ``exact_words`` (longest run of equal consecutive words),
     ``tolerant_words`` and ``substitutions`` (longest stretch of equal words in
-    which replaced words lie at least ``bridge`` words apart). All alignments
+    which replaced words lie at least ``bridge`` words apart; it starts and ends
+    in an equal word, so a replaced word at its edge isn't counted). All alignments
     that share a seed are given, however short; the caller filters.
 
     Words are runs of letters and digits without regard to case. Documents with
