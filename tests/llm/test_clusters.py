@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 
 from vicinage.llm.mixture_clusters import describe_clusters, fit_mixture, linked_groups, mixture_clusters
 from vicinage.llm.top_n import top_n_per_group
@@ -74,6 +75,28 @@ def test_mixture_of_equal_points(spark):
     assert fit_mixture(table(spark, [("a", 0.1, 0.2)] * 5), ("x", "y")).size == 1
 
 
+def many_blobs(spark, side=7):
+    rng = np.random.default_rng(1)
+    return table(spark, [(f"p{x}_{y}_{i}", 0.05 + 0.13 * x + float(a), 0.05 + 0.13 * y + float(b)) for x in range(side) for y in range(side) for i, (a, b) in enumerate(rng.normal(0, 0.0005, (30, 2)))])
+
+
+def test_components_go_on_until_the_criterion_rises(spark):
+    df = many_blobs(spark)
+    mixture = fit_mixture(df, ("x", "y"))
+    best = min(mixture.criterion, key=mixture.criterion.get)
+    # 49 blobs, beyond the 32 components of the first numbers
+    assert mixture.size == best >= 48 and mixture.settled
+    assert all(mixture.criterion[k] > mixture.criterion[best] for k in mixture.criterion if k > best)
+
+
+def test_a_bound_that_is_hit_is_told(spark):
+    df = many_blobs(spark)
+    with pytest.raises(ValueError, match="still falls at 16"):
+        fit_mixture(df, ("x", "y"), most=16)
+    with pytest.warns(UserWarning, match="still falls at 8"):
+        assert not fit_mixture(df, ("x", "y"), components=(4, 8)).settled
+
+
 def test_top_n_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice("abc"), f"i{rng.randrange(40)}", rng.choice([None, float("nan"), -1.0, 2.0, 0.5, 0.5, round(rng.random(), 2)])) for _ in range(3000)]

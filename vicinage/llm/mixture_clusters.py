@@ -10,6 +10,7 @@ is a column expression over all rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -45,17 +46,33 @@ class Mixture:
         standard = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(self.features, self.mean, self.scale)]
         return [_linear(standard, axis) for axis in self.axes]
 
+    @property
+    def settled(self) -> bool:
+        """Whether the criterion was seen to rise again beyond the chosen number."""
+        return max(self.criterion) > self.size
+
     def scores(self, reduced: Sequence[Column]) -> Column:
         """Array of (log joint density, component number)."""
-        entries = []
-        for k in range(self.size):
-            gap = [z - F.lit(float(c)) for z, c in zip(reduced, self.centres[k])]
-            square = F.lit(0.0)
-            for i in range(len(gap)):
-                for j in range(len(gap)):
-                    square = square + gap[i] * gap[j] * F.lit(float(self.precisions[k, i, j]))
-            entries.append(F.struct((F.lit(float(np.log(self.weights[k]) + self.log_norms[k])) - square / 2).alias("density"), F.lit(k).alias("k")))
-        return F.array(*entries)
+        r = len(reduced)
+        rows = F.array(*[F.lit(w) for w in _quadratic(self.weights, self.centres, self.precisions, self.log_norms).tolist()])
+
+        def density(w: Column) -> Column:
+            total = w[0]
+            for i in range(r):
+                total = total + w[1 + i] * reduced[i]
+                for j in range(r):
+                    total = total + w[1 + r + i * r + j] * reduced[i] * reduced[j]
+            return total
+
+        # a table of coefficients, so that the plan doesn't grow with the components
+        return F.transform(rows, lambda w, k: F.struct(density(w).alias("density"), k.alias("k")))
+
+
+def _quadratic(weights, centres, precisions, log_norms):
+    """Coefficients of 1, z and z z' in the log joint density, one row per component."""
+    pulled = np.einsum("kij,kj->ki", precisions, centres)
+    constant = np.log(weights) + log_norms - (pulled * centres).sum(1) / 2
+    return np.concatenate([constant[:, None], pulled, -precisions.reshape(len(weights), -1) / 2], 1)
 
 
 def _linear(columns: Sequence[Column], weights: Sequence[float]) -> Column:
@@ -65,8 +82,13 @@ def _linear(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
-def _summaries(df: DataFrame, features: Sequence[str], explained: float, max_cells: int):
-    """Standardisation, reduction and the cell summaries (at most ``max_cells`` rows)."""
+def _summaries(df: DataFrame, features: Sequence[str], explained: float, ridge: float, max_cells: int):
+    """Standardisation, reduction and the cell summaries (at most ``max_cells`` rows).
+
+    Cells are half as wide as the deviation that the ridge leaves to a component
+    without spread, so they hide no component that the ridge allows; where that
+    takes more than ``max_cells``, they are wider, and a warning says so.
+    """
     d = len(features)
     sums = [F.count(F.lit(1)).alias("n")] + [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]
     sums += [F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
@@ -85,8 +107,11 @@ def _summaries(df: DataFrame, features: Sequence[str], explained: float, max_cel
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
     standard = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, mean, scale)]
     reduced = [_linear(standard, a).alias(f"z{i}") for i, a in enumerate(axes)]
-    r, per_axis = len(axes), max(1, int(max_cells ** (1 / len(axes)) + 1e-9))
+    r, most = len(axes), max(1, int(max_cells ** (1 / len(axes)) + 1e-9))
+    per_axis = min(most, max(1, int(np.ceil(16 / np.sqrt(ridge)))))
     width = 8.0 / per_axis
+    if width > np.sqrt(ridge):
+        warnings.warn(f"cells are {width:.3g} deviations wide, more than the ridge: finer components can't be told apart", stacklevel=3)
     cells = df.select(*reduced)
     keys = [F.least(F.greatest(F.floor((F.col(f"z{i}") + 4.0) / width), F.lit(0)), F.lit(per_axis - 1)).alias(f"k{i}") for i in range(r)]
     totals = [F.count(F.lit(1)).alias("n")] + [F.sum(f"z{i}").alias(f"s{i}") for i in range(r)]
@@ -99,13 +124,9 @@ def _summaries(df: DataFrame, features: Sequence[str], explained: float, max_cel
     return mean, scale, axes, n, first, second
 
 
-def _densities(points, weights, centres, covariances):
-    d = points.shape[1]
-    precisions = np.linalg.inv(covariances)
-    log_norms = -0.5 * (d * np.log(2 * np.pi) + np.linalg.slogdet(covariances)[1])
-    gap = points[:, None, :] - centres[None]
-    square = np.einsum("nki,kij,nkj->nk", gap, precisions, gap)
-    return np.log(weights) + log_norms - square / 2, precisions, log_norms
+def _normal(covariances):
+    """Precisions and logarithms of the norms."""
+    return np.linalg.inv(covariances), -0.5 * (covariances.shape[1] * np.log(2 * np.pi) + np.linalg.slogdet(covariances)[1])
 
 
 def _fit(n, first, second, k, ridge, rounds, seed):
@@ -114,21 +135,31 @@ def _fit(n, first, second, k, ridge, rounds, seed):
     points = first / n[:, None]
     rng = np.random.default_rng(seed)
     chosen = [int(rng.choice(len(n), p=n / total))]
+    nearest = ((points - points[chosen[0]]) ** 2).sum(1)
     for _ in range(k - 1):
-        gap = np.min([((points - points[c]) ** 2).sum(1) for c in chosen], axis=0) * n
+        gap = nearest * n
         chosen.append(int(rng.choice(len(n), p=gap / gap.sum())) if gap.sum() > 0 else chosen[0])
+        nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(1))
     centres, weights = points[chosen].copy(), np.full(k, 1 / k)
     covariances = np.repeat((np.eye(d) / k ** (2 / d))[None], k, 0) + ridge * np.eye(d)
+    terms = np.concatenate([np.ones((len(n), 1)), points, (points[:, :, None] * points[:, None, :]).reshape(len(n), -1)], 1)
+    moments = np.concatenate([n[:, None], first, second.reshape(len(n), -1)], 1)
+    # blocks bound the memory, whatever the numbers of cells and components
+    block = max(1, 2_000_000 // k)
     before, likelihood = -np.inf, -np.inf
     for _ in range(rounds):
-        joint, _, _ = _densities(points, weights, centres, covariances)
-        top = joint.max(1, keepdims=True)
-        norm = top + np.log(np.exp(joint - top).sum(1, keepdims=True))
-        likelihood = float((n * norm[:, 0]).sum())
-        share = np.exp(joint - norm)
-        mass = share.T @ n + 1e-9
-        centres = (share.T @ first) / mass[:, None]
-        covariances = np.einsum("nk,nij->kij", share, second) / mass[:, None, None] - np.einsum("ki,kj->kij", centres, centres)
+        coefficients = _quadratic(weights, centres, *_normal(covariances)).T
+        likelihood, sums = 0.0, np.zeros((k, moments.shape[1]))
+        for at in range(0, len(n), block):
+            joint = terms[at : at + block] @ coefficients
+            top = joint.max(1, keepdims=True)
+            share = np.exp(joint - top)
+            norm = share.sum(1, keepdims=True)
+            likelihood += float((n[at : at + block] * (top + np.log(norm))[:, 0]).sum())
+            sums += (share / norm).T @ moments[at : at + block]
+        mass = sums[:, 0] + 1e-9
+        centres = sums[:, 1 : 1 + d] / mass[:, None]
+        covariances = sums[:, 1 + d :].reshape(k, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", centres, centres)
         covariances = (covariances + covariances.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
         weights = mass / mass.sum()
         if likelihood - before < 1e-6 * total:
@@ -137,38 +168,62 @@ def _fit(n, first, second, k, ridge, rounds, seed):
     return likelihood, weights, centres, covariances
 
 
+def _ladder(most: int) -> Iterator[int]:
+    """1, 2, 4, 8, 12, 16, 24, 32, 48, .. up to ``most``."""
+    yield from (k for k in (1, 2, 4) if k <= most)
+    step = 8
+    while step <= most:
+        yield step
+        if step * 3 // 2 <= most:
+            yield step * 3 // 2
+        step *= 2
+
+
 def fit_mixture(
     df: DataFrame,
     features: Sequence[str],
     *,
-    components: Sequence[int] = (1, 2, 4, 8, 12, 16, 24, 32),
+    components: Sequence[int] | None = None,
+    most: int = 1024,
+    patience: int = 3,
     explained: float = 0.99,
     ridge: float = 1e-3,
     rounds: int = 100,
-    max_cells: int = 16_384,
+    max_cells: int = 262_144,
     seed: int = 3,
 ) -> Mixture | None:
     """The mixture whose number of components has the least Bayesian information criterion.
 
-    ``df`` must hold finite numbers in ``features``; all rows count. ``None`` for
-    an empty table. Two passes over the rows; the driver receives at most
+    The numbers 1, 2, 4, 8, 12, 16, 24, 32, 48, .. are tried until ``patience`` of
+    them in a row don't improve on the best, or every cell could have a component
+    of its own. If the best is among the last before ``most``, so that the
+    criterion wasn't seen to rise again, it is an error. A given list of
+    ``components`` is tried as it stands, with a warning if its last is the best
+    (``settled`` tells). ``df`` must hold finite numbers in ``features``; all rows
+    count. ``None`` for an empty table. Two passes over the rows; the driver receives at most
     ``max_cells`` summaries of fixed width.
     """
-    summary = _summaries(df, features, explained, max_cells)
+    summary = _summaries(df, features, explained, ridge, max_cells)
     if summary is None:
         return None
     mean, scale, axes, n, first, second = summary
-    d, best, criterion = first.shape[1], None, {}
-    for k in sorted(set(components)):
-        if k > len(n):
+    d, best, criterion, idle = first.shape[1], None, {}, 0
+    for k in _ladder(most) if components is None else sorted(set(components)):
+        if k > len(n) or (components is None and idle == patience):
             break
         likelihood, weights, centres, covariances = _fit(n, first, second, k, ridge, rounds, seed)
         free = k * (d + d * (d + 1) / 2) + k - 1
         criterion[k] = float(free * np.log(n.sum()) - 2 * likelihood)
+        idle += 1
         if best is None or criterion[k] < best[0]:
-            best = (criterion[k], weights, centres, covariances)
+            best, idle = (criterion[k], weights, centres, covariances), 0
+    if idle == 0 and len(n) > max(criterion) > 1:
+        said = f"the criterion still falls at {max(criterion)} components, the last number tried"
+        if components is None and 2 * max(criterion) > most:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=2)
     _, weights, centres, covariances = best
-    _, precisions, log_norms = _densities(first[:1] / n[:1, None], weights, centres, covariances)
+    precisions, log_norms = _normal(covariances)
     return Mixture(tuple(features), mean, scale, axes, weights, centres, precisions, log_norms, criterion)
 
 
