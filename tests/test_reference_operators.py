@@ -277,3 +277,22 @@ def test_stream_of_queries(spark, tmp_path):
     assert sorted(r["query_id"] for r in ids) == ["q0", "q1", "q2"]
     events = spark.createDataFrame([("2025-01-01 00:10:00", "a", 1.0), ("2025-01-01 00:50:00", "a", 2.0), ("2025-01-01 01:10:00", "b", 5.0)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r["kind"], r["n"], r["total"]) for r in T.event_rates(events).collect()) == [("a", 2, 3.0), ("b", 1, 5.0)]
+
+
+def test_pairs_of_control_materials_are_kept(spark, tmp_path):
+    from vicinage.plans import cohort_queries, retrieval_queries
+
+    tables = {
+        "material_record": ([("m1", "Fe2O3", ["Fe", "O"], -1.0, None), ("m2", "NaCl", ["Na", "Cl"], -2.0, None)], "jid string, formula string, elements array<string>, formation_energy_peratom double, loaded_at timestamp"),
+        "candidate_pool": ([("m1", "true", None)], "candidate_jid string, known_synthesized string, loaded_at timestamp"),
+        "control_materials": ([("c1", "FeS2"), ("m2", "KBr3")], "jid string, formula string"),
+        "nearest_contextual_neighbours_1c2": ([("c1", "m1"), ("c1", "m1"), ("m1", "m2"), ("gone", "m1"), ("m2", "gone")], "candidate_id string, neighbour_id string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["candidate_id"], r["neighbour_id"]): r["jaccard"] for r in cohort_queries.q_element_jaccard(spark, str(tmp_path)).collect()}
+    assert got == {("c1", "m1"): round(1 / 3, 6), ("m1", "m2"): 0.0, ("gone", "m1"): None, ("m2", "gone"): None}
+    deltas = {(r["jid_a"], r["jid_b"], r["feature"]) for r in retrieval_queries.q_pair_deltas(spark, str(tmp_path)).collect()}
+    counts = {"n_elements", "metal_count", "nonmetal_count"}
+    assert deltas == {("c1", "m1", f) for f in counts} | {("m1", "m2", f) for f in counts | {"formation_energy"}}
+    assert {(r["jid_a"], r["jid_b"]) for r in retrieval_queries.q_pair_screen(spark, str(tmp_path)).collect()} == {("c1", "m1"), ("m1", "m2")}

@@ -162,11 +162,11 @@ def q_composition_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_element_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element overlap of all stored neighbour pairs."""
-    sets = P.universe(spark, sf_dir).select("jid", "elements")
+    """Element overlap of all stored neighbour pairs; null where an id is unknown."""
+    sets = P.with_controls(spark, sf_dir).select("jid", "elements")
     pairs = read_table(spark, sf_dir, "nearest_contextual_neighbours_1c2").select("candidate_id", "neighbour_id").distinct()
-    both = pairs.join(sets.select(F.col("jid").alias("candidate_id"), F.col("elements").alias("x")), "candidate_id").join(sets.select(F.col("jid").alias("neighbour_id"), F.col("elements").alias("y")), "neighbour_id")
-    return P._rounded(both.select("candidate_id", "neighbour_id", S.pair_key(F.col("candidate_id"), F.col("neighbour_id")).alias("pair_key"), X.jaccard(F.col("x"), F.col("y")).alias("jaccard")))
+    both = pairs.join(sets.select(F.col("jid").alias("candidate_id"), F.col("elements").alias("x")), "candidate_id", "left").join(sets.select(F.col("jid").alias("neighbour_id"), F.col("elements").alias("y")), "neighbour_id", "left")
+    return P._rounded(both.select("candidate_id", "neighbour_id", S.pair_key(F.col("candidate_id"), F.col("neighbour_id")).alias("pair_key"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), X.jaccard(F.col("x"), F.col("y"))).alias("jaccard")))
 
 
 def q_case_review(spark: SparkSession, sf_dir: str) -> DataFrame:

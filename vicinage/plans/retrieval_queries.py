@@ -144,11 +144,18 @@ def q_zscore_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(U.feature_matrix(universe(spark, sf_dir), ("band_gap", "formation_energy", "density_feature", "spacegroup_number")))
 
 
+def with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe and the control materials, to which stored pairs refer as well."""
+    put = U.union_universe([U.prepare(read_table(spark, sf_dir, "control_materials"))])
+    return U.upsert(universe(spark, sf_dir), put, overwrite=False)
+
+
 @session_view
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas of all stored pairs, in deviations of the universe; an unknown id has no values and so no rows."""
     base = universe(spark, sf_dir)
     pairs = _neighbour_pairs(spark, sf_dir).select(F.col("candidate_id").alias("jid_a"), F.col("neighbour_id").alias("jid_b")).filter("jid_a != jid_b")
-    return cut_lineage(U.signed_deltas(pairs, base, U.feature_stats(base, FEATURES), FEATURES))
+    return cut_lineage(U.signed_deltas(pairs, with_controls(spark, sf_dir), U.feature_stats(base, FEATURES), FEATURES))
 
 
 def q_pair_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
