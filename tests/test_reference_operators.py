@@ -296,3 +296,14 @@ def test_pairs_of_control_materials_are_kept(spark, tmp_path):
     counts = {"n_elements", "metal_count", "nonmetal_count"}
     assert deltas == {("c1", "m1", f) for f in counts} | {("m1", "m2", f) for f in counts | {"formation_energy"}}
     assert {(r["jid_a"], r["jid_b"]) for r in retrieval_queries.q_pair_screen(spark, str(tmp_path)).collect()} == {("c1", "m1"), ("m1", "m2")}
+
+
+def test_pools_of_materials_as_queries(spark, tmp_path):
+    from vicinage.plans import retrieval_queries
+
+    ids = [f"JVASP-{n}" for n in range(1, 61)] + ["EXT-20250918-0020"]
+    spark.createDataFrame([(j, "Fe2O3" if i % 2 else "NaCl", None) for i, j in enumerate(ids)], "jid string, formula string, loaded_at timestamp").write.parquet(f"{tmp_path}/material_record.parquet")
+    spark.createDataFrame([], "candidate_jid string, known_synthesized string, loaded_at timestamp").write.parquet(f"{tmp_path}/candidate_pool.parquet")
+    rows = retrieval_queries.queries()["material_pools"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in rows} == {"JVASP-20", "JVASP-40", "JVASP-60"}
+    assert all(r["query_id"] != r["candidate_id"] for r in rows)

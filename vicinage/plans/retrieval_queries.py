@@ -43,6 +43,13 @@ def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(R.in_blocks(universe(spark, sf_dir), controls(spark, sf_dir), CONFIG))
 
 
+@session_view
+def material_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materials whose id number is divisible by 20 as queries, with their own space group and status."""
+    number = F.regexp_extract("jid", r"^JVASP-(\d+)$", 1).try_cast("long")
+    return cut_lineage(R.query_rows(universe(spark, sf_dir).filter(number % 20 == 0)))
+
+
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -66,6 +73,11 @@ def _one_pool(name: str):
     return run
 
 
+def q_material_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five pools of every material whose id number is divisible by 20, in blocks of queries."""
+    return R.in_blocks(universe(spark, sf_dir), material_queries(spark, sf_dir), CONFIG).select(*POOL_OUT)
+
+
 def q_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match rates of every query against the whole universe."""
     both = R.annotate(universe(spark, sf_dir), controls(spark, sf_dir), CONFIG)
@@ -183,7 +195,7 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     named = {f"{name}_pool": _one_pool(name) for name in R.POOLS}
-    plain = [q_universe, q_manifest, q_annotate, q_pool_metrics, q_pool_entropy, q_top_categories, q_missing_report, q_pool_overlap, q_pool_independence, q_top_references, q_coverage, q_pool_summary]
+    plain = [q_universe, q_manifest, q_material_pools, q_annotate, q_pool_metrics, q_pool_entropy, q_top_categories, q_missing_report, q_pool_overlap, q_pool_independence, q_top_references, q_coverage, q_pool_summary]
     plain += [q_plausibility_records, q_plausibility_pairs, q_plausibility_summary, q_feature_stats, q_zscore_matrix, q_pair_deltas, q_group_deltas, q_top_deltas, q_pair_screen, q_upsert]
     return named | {q.__name__.removeprefix("q_"): q for q in plain}
 
