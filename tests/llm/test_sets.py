@@ -117,3 +117,33 @@ def test_subset_larger_than_its_varieties(spark):
     assert len(got) == 30 and sum(g[1] == "S1" for g in got) == 5
     assert len(subset(spark, rows, 500)) == 55 and subset(spark, rows, 0) == [] and subset(spark, [], 5) == []
     assert len(subset(spark, rows, 0.2)) == 11
+
+
+@pytest.mark.parametrize("n", [400, 1200])
+def test_near_copies_stay_in_proportion(spark, n, monkeypatch):
+    from vicinage.llm import set_join
+
+    # every two sets share 19 of 21 tokens, so every pair is one of the result
+    df = spark.createDataFrame([(f"r{i:05d}", [f"t{k}" for k in range(19)] + [f"own{i}"]) for i in range(n)], "id string, tags array<string>")
+    rows = []
+    verified = set_join._verified
+    monkeypatch.setattr(set_join, "_verified", lambda leaves, *a: rows.append(leaves.count()) or verified(leaves, *a))
+    links = similar_classes(df, record="id", tokens="tags", threshold=0.8, leaf=256).agg({"links": "min", "*": "count"}).first()
+    assert links["min(links)"] == n - 1 and links["count(1)"] == n
+    # a set is compared in one node, that is once
+    assert rows == [n]
+
+
+def test_near_copies_among_others(spark, monkeypatch):
+    from vicinage.llm import set_join
+
+    rng = random.Random(8)
+    sets = {f"c{i:04d}": {f"t{k}" for k in range(19)} | {f"own{i}"} for i in range(300)} | {f"x{i:04d}": {f"w{rng.randrange(4000)}" for _ in range(20)} for i in range(600)}
+    df = spark.createDataFrame([(r, sorted(s)) for r, s in sets.items()], "id string, tags array<string>")
+    rows = []
+    verified = set_join._verified
+    monkeypatch.setattr(set_join, "_verified", lambda leaves, *a: rows.append(leaves.count()) or verified(leaves, *a))
+    links = similar_classes(df, record="id", tokens="tags", threshold=0.8, leaf=64).filter("links > 0").agg({"links": "min", "*": "count"}).first()
+    assert links["min(links)"] == 299 and links["count(1)"] == 300
+    # four of the five tokens that a near-copy follows are shared by all
+    assert rows[0] <= 5 * len(sets)

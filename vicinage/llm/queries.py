@@ -68,7 +68,7 @@ def element_symbols(elements: Column) -> Column:
     def symbol(e: Column) -> Column:
         text = F.regexp_replace(e, f"^{_BLANK}++|(?<!{_BLANK}){_BLANK}++$", "")
         text = F.regexp_replace(text, rf"{_BLANK}*+(?:\({_BLANK}*+[ivxIVX0-9]++[+\u2212-]?{_BLANK}*+\)|[0-9]*+[+\u2212-][0-9]*+)$", "")
-        return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 100)))
+        return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(text.substr(F.lit(2), F.length(text))))
 
     return F.array_distinct(F.filter(F.transform(elements, symbol), lambda e: e.isNotNull() & (e != "")))
 
@@ -185,6 +185,18 @@ z AS (SELECT jid, count(*) AS n FROM t GROUP BY jid HAVING count(*) >= 6),
 p AS (SELECT a.jid AS jid_a, b.jid AS jid_b, count(*) AS both_n FROM t a JOIN t b USING (e) JOIN z za ON za.jid = a.jid JOIN z zb ON zb.jid = b.jid WHERE a.jid < b.jid GROUP BY 1, 2)
 SELECT p.jid_a, p.jid_b FROM p JOIN z za ON za.jid = p.jid_a JOIN z zb ON zb.jid = p.jid_b WHERE both_n * 10 >= 8 * (za.n + zb.n - both_n)
 """
+P4_CLASSES_SQL = rf"""
+WITH e AS (SELECT jid, row_number() OVER () AS r, elements FROM material_record WHERE jid IS NOT NULL),
+x AS (SELECT jid, r, unnest(elements) AS e FROM e),
+s AS (SELECT jid, r, regexp_replace(regexp_replace(e, '^{_SQL_BLANK}+|{_SQL_BLANK}+$', '', 'g'), '{_SQL_BLANK}*(\({_SQL_BLANK}*[ivxIVX0-9]+[+-]?{_SQL_BLANK}*\)|[0-9]*[+-][0-9]*)$', '') AS e FROM x WHERE e IS NOT NULL),
+t AS (SELECT jid, list_sort(list(DISTINCT upper(e[1]) || lower(e[2:]))) AS ts FROM s WHERE e != '' GROUP BY jid, r),
+m AS (SELECT DISTINCT jid, ts FROM t),
+d AS MATERIALIZED (SELECT ts, count(*) AS n FROM m GROUP BY ts),
+k AS (SELECT ts, unnest(ts) AS e FROM d),
+p AS (SELECT a.ts AS x, b.ts AS y, count(*) AS shared FROM k a JOIN k b USING (e) WHERE a.ts != b.ts GROUP BY 1, 2),
+l AS (SELECT x AS ts, sum(d.n) AS far FROM p JOIN d ON d.ts = p.y WHERE shared * 10 >= 8 * (len(x) + len(y) - shared) GROUP BY 1)
+SELECT m.jid, md5('{{"tokens":["' || array_to_string(m.ts, '","') || '"]}}') AS class_id, (d.n - 1 + coalesce(l.far, 0))::BIGINT AS links FROM m JOIN d USING (ts) LEFT JOIN l USING (ts)
+"""
 P7_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
@@ -197,4 +209,4 @@ SELECT DISTINCT doc_id, item_id FROM dh JOIN ih USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+    return {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_classes": P4_CLASSES_SQL, "p7_found": P7_SQL}

@@ -11,14 +11,28 @@ How many tokens to follow: a partner of a set of ``s`` tokens shares at least
 ``ceil(t*s)`` of them, so one of the first ``s - ceil(t*s) + 1`` shared or not
 tokens of *both* sets is common to both: take the first shared token in the
 node's order; fewer than ``s - ceil(t*s) + 1`` tokens can stand before it in
-either set. The argument holds again inside the child for the tokens that are
-left. A single tree therefore has recall 1. With ``sampled_recall`` below 1 each
-record follows fewer tokens, and trees are repeated until the recall is reached.
+either set. The argument holds for any order and again inside the child for the
+tokens that are left. A single tree therefore has recall 1. With
+``sampled_recall`` below 1 each record follows fewer tokens, and trees are
+repeated until the recall is reached.
+
+The random order is weighted: a token's place is an exponential variate times
+the number of sets that hold it, so rare tokens tend to come first and children
+are small.
+
+When to stop: a node is split only while that saves comparisons, that is while
+the squares of its children's sizes sum to less than the square of its own. A
+node of near-copies doesn't shrink, as its records follow the same few tokens;
+it is compared where it stands, in blocks. Records that share all but their
+rarest tokens are partners of each other, so what such a node compares are
+mostly pairs of the result. Every record passes at most ``s - ceil(t*s) + 1``
+times into the children of a node that stops, and those are dropped.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,20 +68,33 @@ def distinct_sets(records: DataFrame, *, record: str, tokens: str, least_size: i
     return sets, members
 
 
+def _weighted(sets: DataFrame) -> DataFrame:
+    """``set_id``, ``size`` and ``rest``: the tokens as hashes with the number of sets that hold them."""
+    long = sets.select("set_id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).select("set_id", "size", F.xxhash64("token").alias("t"))
+    held = long.groupBy("t").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return long.join(held, "t").groupBy("set_id", "size").agg(F.collect_list(F.struct("t", "w")).alias("rest"))
+
+
 def _children(nodes: DataFrame, threshold: float, seed: int, follow: float) -> DataFrame:
-    """The records of ``nodes`` (path, set_id, size, rest) in their child nodes.
+    """The records of ``nodes`` (path, n, set_id, size, rest) in their child nodes;
+    ``parent`` and ``n_parent`` name the node they come from.
 
     Hashing path and token gives each node its own random token order.
     """
     full = F.col("size") - least_overlap(F.col("size"), threshold) + 1
     wanted = F.greatest(F.lit(1), F.ceil(full * F.lit(follow)).cast("int"))
-    ordered = F.array_sort(F.transform(F.col("rest"), lambda t: F.struct(F.xxhash64(F.lit(seed), F.col("path"), t).alias("h"), t.alias("t"))))
-    branched = nodes.select("path", "set_id", "size", "rest", F.explode(F.slice(ordered, F.lit(1), wanted)).alias("c"))
+    hashed = F.transform(F.col("rest"), lambda r: F.struct(F.xxhash64(F.lit(seed), F.col("path"), r["t"]).alias("h"), r["t"].alias("t"), r["w"].alias("w")))
+    # an exponential variate of mean w; the hash settles what ties there may be
+    place = lambda r: -F.ln((F.shiftrightunsigned(r["h"], 11) + 1) / float(2**53 + 2)) * r["w"]
+    ordered = F.array_sort(F.transform(hashed, lambda r: F.struct(place(r).alias("place"), r["h"].alias("h"), r["t"].alias("t"))))
+    branched = nodes.select("path", "n", "set_id", "size", "rest", F.explode(F.slice(ordered, F.lit(1), wanted)).alias("c"))
     return branched.select(
+        F.col("path").alias("parent"),
+        F.col("n").alias("n_parent"),
         F.col("c.h").alias("path"),
         "set_id",
         "size",
-        F.array_remove("rest", F.col("c.t")).alias("rest"),
+        F.filter("rest", lambda r: r["t"] != F.col("c.t")).alias("rest"),
     )
 
 
@@ -89,52 +116,58 @@ def similar_sets(
     *,
     threshold: float,
     leaf: int = 256,
+    block: int = 1024,
     follow: float = 1.0,
     sampled_recall: float = 0.99,
     seed: int = 5,
 ) -> DataFrame:
     """Pairs of distinct sets: ``set_a`` < ``set_b`` and ``similarity`` >= ``threshold``.
 
-    Splitting goes on until no node holds more than ``leaf`` sets. Sets of a node
-    that is split, whose least overlap is spent by the path, may share nothing
-    more with each other and are compared there; they exceed the path by few
-    tokens. Whatever has more than ``leaf`` sets is compared in blocks, so that
-    no task ever holds an unbounded group.
+    Nodes of more than ``leaf`` sets are split while that saves comparisons.
+    Sets of a node that is split, whose least overlap is spent by the path, may
+    share nothing more with each other and are compared there; they exceed the
+    path by few tokens. Whatever has more than ``block`` sets is compared in
+    blocks, so that no task ever holds an unbounded group.
     """
+    total = sets.count()
+    coded = cut_lineage(_weighted(sets))
     found = None
     for tree in range(trees_for(sampled_recall, threshold, follow, 3)):
-        base = sets.select(F.lit(0).cast("long").alias("path"), "set_id", F.size("tokens").alias("size"), F.col("tokens").alias("rest"))
-        # the root is never compared as a whole
-        level = cut_lineage(_children(base, threshold, seed + tree, follow))
-        leaves, depth = None, 1
-        while True:
-            big = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf).select("path")
-            small = level.join(big, "path", "left_anti").select("path", "set_id")
-            rest = level.join(big, "path", "left_semi")
-            # two sets that may have no shared token left besides the path meet here for the last time
-            spent = rest.filter(least_overlap(F.col("size"), threshold) <= depth).select("path", "set_id")
-            here = small.unionByName(spent)
-            leaves = here if leaves is None else leaves.unionByName(here)
-            level = cut_lineage(_children(rest.filter(F.size("rest") > 0), threshold, seed + tree, follow))
+        level = coded.select(F.lit(0).cast("long").alias("path"), F.lit(total).cast("long").alias("n"), "set_id", "size", "rest")
+        leaves, depth = [], 0
+        if total <= leaf:
+            leaves, level = [level.select("path", "n", "set_id")], level.limit(0)
+        while leaves == [] or not level.isEmpty():
+            children = cut_lineage(_children(level.filter(F.size("rest") > 0), threshold, seed + tree, follow))
             depth += 1
-            if level.isEmpty():
-                break
-        pairs = _verified(leaves, sets, threshold, leaf)
+            is_spent = least_overlap(F.col("size"), threshold) <= depth
+            counts = children.groupBy("parent", "n_parent", "path").agg(F.count(F.lit(1)).alias("n"), F.sum(is_spent.cast("long")).alias("n_spent"))
+            cost = counts.groupBy("parent").agg((F.sum(F.col("n").cast("double") * F.col("n")) >= F.max(F.col("n_parent").cast("double") * F.col("n_parent"))).alias("dense"))
+            counts = cut_lineage(counts.join(cost, "parent"))
+            # one row per node of more than `leaf` sets and per child
+            dense = counts.filter("dense").select(F.col("parent").alias("path")).distinct()
+            leaves.append(level.join(dense, "path", "left_semi").select("path", "n", "set_id"))
+            open_ = children.join(counts.filter("NOT dense AND n > 1").select("path", "n", "n_spent"), "path")
+            leaves.append(open_.filter(F.col("n") <= leaf).select("path", "n", "set_id"))
+            level = open_.filter(F.col("n") > leaf)
+            # two sets that may have no shared token left besides the path meet here for the last time
+            leaves.append(level.filter(is_spent & (F.col("n_spent") > 1)).select(F.xxhash64("path", F.lit("spent")).alias("path"), F.col("n_spent").alias("n"), "set_id"))
+            level = cut_lineage(level.select("path", "n", "set_id", "size", "rest"))
+        pairs = _verified(reduce(DataFrame.unionByName, leaves), sets, threshold, block)
         found = pairs if found is None else found.unionByName(pairs)
     return found.distinct()
 
 
-def _verified(leaves: DataFrame, sets: DataFrame, threshold: float, leaf: int) -> DataFrame:
-    """Exact similarity of the pairs within leaves.
+def _verified(leaves: DataFrame, sets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Exact similarity of the pairs within leaves (path, n, set_id).
 
-    The join goes by (path, block pair); a node of up to ``leaf`` sets is one
+    The join goes by (path, block pair); a node of up to ``block`` sets is one
     block. Sizes and 64-bit sketches discard nearly all pairs before any array is
     touched: sets with similarity t differ in at most (1-t)/(1+t) of their joint
     size, and every bit that differs between the sketches needs a token that differs.
     """
-    rows = leaves.distinct().join(sets.select("set_id", "tokens", F.size("tokens").alias("size"), signature(F.col("tokens")).alias("bits")), "set_id")
-    blocks = leaves.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("path", F.ceil(F.col("n") / leaf).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "path").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rows = leaves.join(sets.select("set_id", "tokens", F.size("tokens").alias("size"), signature(F.col("tokens")).alias("bits")), "set_id")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     left = rows.select("path", "set_id", "tokens", "size", "bits", F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
     right = rows.select("path", F.col("set_id").alias("set_2"), F.col("tokens").alias("tokens_2"), F.col("size").alias("size_2"), F.col("bits").alias("bits_2"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
     joint = F.col("size") + F.col("size_2")
