@@ -111,6 +111,14 @@ def test_top_n_against_brute_force(spark):
     assert got == want
 
 
+def test_top_n_of_groups_full_of_repeats(spark):
+    # the best 40 entries of one group are one item; of another, three items; a third has few entries
+    rows = [("a", "x", 0.9)] * 60 + [("a", f"y{i}", 0.1 + i / 100) for i in range(9)] + [("b", f"z{i % 3}", 0.8) for i in range(50)] + [("c", "k", 0.3), ("c", "k", 0.4)]
+    df = spark.createDataFrame(rows, "g string, i string, s double").repartition(5)
+    got = sorted((r["g"], r["rank"], r["i"], r["score"]) for r in top_n_per_group(df, "g", "i", "s", 5).collect())
+    assert got == [("a", 1, "x", 0.9), *[("a", k + 2, f"y{8 - k}", 0.1 + (8 - k) / 100) for k in range(4)], *[("b", k + 1, f"z{k}", 0.8) for k in range(3)], ("c", 1, "k", 0.4)]
+
+
 def test_top_n_of_nothing(spark):
     df = spark.createDataFrame([], "g string, i string, s double")
     assert top_n_per_group(df, "g", "i", "s", 3).columns == ["g", "i", "score", "rank"]

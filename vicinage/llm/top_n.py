@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
 
+from vicinage.session import cut_lineage
+
 
 def bounded_heap(column: Column, size: int) -> Column:
     """Aggregate: the ``size`` smallest values of ``column``, ascending.
@@ -29,6 +31,7 @@ def top_n_per_group(
     lowest: float | None = None,
     highest: float | None = None,
     drop_self: bool = False,
+    spare: int = 3,
 ) -> DataFrame:
     """The ``n`` items with the highest ``score`` in every group.
 
@@ -43,8 +46,13 @@ def top_n_per_group(
     * An empty table gives an empty result. Other columns are ignored, whatever
       their names.
 
-    Two exchanges: of partial maxima by (group, item), which spreads a hot group
-    over all tasks, and of heaps of at most ``n`` entries by group.
+    One exchange: every task keeps a heap of the ``(1 + spare) * n`` best entries
+    of each group, and the heaps are merged by group, so that a hot group reaches
+    its reducer as a few short arrays. An item may stand in a heap several times;
+    its first entry is its highest score, so the heap gives the exact result if it
+    holds ``n`` different items or all entries of the group. For other groups
+    (whose best entries are nearly all repeats) the items' highest scores are
+    made first, spread over all tasks by (group, item), and the heaps from them.
     """
     groups = [group] if isinstance(group, str) else list(group)
     if n < 1:
@@ -63,9 +71,20 @@ def top_n_per_group(
         keep &= F.col("__score") <= highest
     if drop_self:
         keep &= F.col(keys[0]) != F.col("__item")
-    best = rows.filter(keep).groupBy(*keys, "__item").agg(F.max("__score").alias("__score"))
-    # the heap holds (-score, item): its order is score descending, item ascending; "+ 0" makes -0.0 and 0.0 equal
-    heaps = best.groupBy(*keys).agg(bounded_heap(F.struct((-F.col("__score") + F.lit(0.0)).alias("low"), F.col("__item").alias("item")), n).alias("__heap"))
+    rows = rows.filter(keep)
+    # an entry is (-score, item): score descending, item ascending; "+ 0" makes -0.0 and 0.0 equal
+    entry = F.struct((-F.col("__score") + F.lit(0.0)).alias("low"), F.col("__item").alias("item"))
+    size = (1 + spare) * n
+    merged = rows.groupBy(*keys).agg(bounded_heap(entry, size).alias("__all"))
+    # positions of first entries, at most ``size`` of them
+    first = F.filter("__all", lambda e, i: i == F.array_position(F.transform("__all", lambda x: x["item"]), e["item"]) - 1)
+    found = cut_lineage(merged.select(*keys, F.slice(first, 1, n).alias("__heap"), (F.size("__all") < size).alias("__whole")))
+    settled = F.col("__whole") | (F.size("__heap") == n)
+    heaps = found.filter(settled).select(*keys, "__heap")
+    unsettled = found.filter(~settled).select(*keys)
+    if not unsettled.isEmpty():
+        best = rows.join(unsettled, keys, "left_semi").groupBy(*keys, "__item").agg(F.max("__score").alias("__score"))
+        heaps = heaps.unionByName(best.groupBy(*keys).agg(bounded_heap(entry, n).alias("__heap")))
     return heaps.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.posexplode("__heap").alias("__at", "__entry")).select(
         *groups,
         F.col("__entry.item").alias(item),
