@@ -7,7 +7,7 @@ import pytest
 
 from vicinage.llm.contamination import BLOCK, Limits, leaked_items, leaked_passages
 from vicinage.llm.residue import find_residue, residue_of, without_residue
-from vicinage.llm.source_mix import TOKENIZER, _encoding, _pieces, expected_copies, mix_sources, mixing_plan, mixture_shares, poisson_rate
+from vicinage.llm.source_mix import TOKENIZER, _encoding, _pieces, expected_copies, mix_sources, mixing_plan, mixture_shares, poisson_rate, poisson_table
 
 WORDS = [f"w{i}" for i in range(400)] + ["Straße", "naïve", "x1", "ÉTÉ"]
 
@@ -149,6 +149,29 @@ def test_mixture_shares_caps_and_order(spark):
     assert mix_sources(docs.limit(0), targets).count() == 0 and mix_sources(docs, targets.limit(0)).count() == 0
 
 
+def test_poisson_tables():
+    for rate, cap in ((0.0, 3), (0.4, 1), (2.5, 4), (30.0, 60), (900.0, 1000)):
+        table = poisson_table(rate, cap)
+        assert len(table) <= cap and table == sorted(table) and table[-1] <= 1
+        # the mean of the cut variable is the sum of what lies above each step
+        assert abs(sum(1 - p for p in table) - expected_copies(rate, cap)) < 1e-6
+    assert poisson_table(None, 5) == [] and abs(expected_copies(poisson_rate(700, 1000), 1000) - 700) < 1e-6
+
+
+def test_many_repeats_and_deviation_by_size(spark):
+    rng = random.Random(4)
+    deviations = {}
+    for size in (200, 20_000):
+        docs = [(i, "alpha beta " * rng.randrange(1, 9), "big") for i in range(size)] + [(10**6 + i, "gamma delta " * rng.randrange(1, 9), "rare") for i in range(size // 40)]
+        d = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+        t = spark.createDataFrame([("big", 0.5, 1), ("rare", 0.5, 1000)], "source string, target_share double, max_repeats int")
+        shares = {r["source"]: r for r in mixture_shares(mix_sources(d, t), t).collect()}
+        assert 25 < shares["rare"]["most_copies"] <= 1000
+        deviations[size] = abs(shares["rare"]["actual_share"] - 0.5)
+    # the noise of the draw falls with the root of the number of documents
+    assert deviations[20_000] < 0.01 and deviations[200] < 0.1
+
+
 RESIDUE = [
     ("Reviewed by {{ reviewer }}.", "slot"), ("Value: <FORMULA>", "slot"), ("Cluster [INSERT Cluster Id] was reviewed.", "slot"), ("made for XXX pool name XXX", "slot"), ("Name: ____ (to be filled in)", "slot"), ("see %(batch date)s now", "slot"),
     ("[Write the summary in two sentences.]", "slot"), ("<!-- Title goes here -->", "slot"), ("TODO: describe it", "slot"), ("The sum is\n<insert figure\ncaption> here", "slot"),

@@ -54,11 +54,12 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 
 def expected_copies(rate: float, cap: int) -> float:
     """Mean of a Poisson variable of mean ``rate`` that is cut at ``cap``."""
-    below, term, total = 0.0, math.exp(-rate), 0.0
+    below, log_term, total = 0.0, -rate, 0.0
     for k in range(cap):
+        term = math.exp(log_term)
         total += k * term
         below += term
-        term *= rate / (k + 1)
+        log_term += (math.log(rate) if rate > 0 else -math.inf) - math.log(k + 1)
     return total + cap * max(0.0, 1.0 - below)
 
 
@@ -101,19 +102,27 @@ def mixing_plan(sizes: dict[str, float], targets: dict[str, tuple[float, int]],
     return plan
 
 
-def copies(rate: Column, cap: Column, uniform: Column, largest_cap: int) -> Column:
-    """Inverse of the Poisson distribution function at ``uniform``, cut at ``cap``.
+def poisson_table(rate: float | None, cap: int) -> list[float]:
+    """The Poisson distribution function at 0, 1, .. below ``cap``, up to where it is
+    one to 16 digits; a null rate means ``cap`` copies, that is a function of zeros,
+    which is told by an empty table."""
+    if rate is None:
+        return []
+    table, log_term, total = [], -rate, 0.0
+    for k in range(cap):
+        total += math.exp(log_term)
+        table.append(min(1.0, total))
+        if k > rate and 1.0 - total < 1e-16:
+            break
+        log_term += (math.log(rate) if rate > 0 else -math.inf) - math.log(k + 1)
+    return table
 
-    A null rate means ``cap`` copies.
-    """
-    term = F.exp(-rate)
-    passed = term
-    count = F.lit(0)
-    for k in range(1, largest_cap + 1):
-        count = count + F.when(uniform >= passed, 1).otherwise(0)
-        term = term * rate / k
-        passed = passed + term
-    return F.least(F.when(rate.isNull(), cap).otherwise(count), cap)
+
+def copies(table: Column, cap: Column, uniform: Column) -> Column:
+    """Inverse of the Poisson distribution function at ``uniform``, cut at ``cap``:
+    how many entries of its :func:`poisson_table` have been passed; ``cap`` where
+    the table is empty."""
+    return F.least(F.when(F.size(table) == 0, cap).otherwise(F.size(F.filter(table, lambda p: uniform >= p))), cap)
 
 
 def unit_hash(*columns: Column) -> Column:
@@ -169,10 +178,9 @@ def mix_sources(
     # one row for each of the at most max_sources named sources
     totals = sized.filter(F.col("source").isin(list(named))).groupBy("source").agg(F.sum("n_tokens").alias("n"))
     plan = mixing_plan({r["source"]: float(r["n"]) for r in totals.collect()}, named, total_tokens)
-    schema = "source string, rate double, cap int"
-    rates = spark.createDataFrame([(s, p["rate"], p["max_repeats"]) for s, p in plan.items()], schema)
-    largest = max((p["max_repeats"] for p in plan.values()), default=1)
-    drawn = sized.join(F.broadcast(rates), "source").withColumn("n", copies(F.col("rate"), F.col("cap"), unit_hash(F.lit(seed), F.col("doc")), largest))
+    # a table of a source has about as many entries as its greatest number of copies
+    tables = spark.createDataFrame([(s, poisson_table(p["rate"], p["max_repeats"]), p["max_repeats"]) for s, p in plan.items()], "source string, table array<double>, cap int")
+    drawn = sized.join(F.broadcast(tables), "source").withColumn("n", copies(F.col("table"), F.col("cap"), unit_hash(F.lit(seed), F.col("doc"))))
     exploded = drawn.filter(F.col("n") > 0).select("doc", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy_no"))
     keyed = exploded.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "doc", "copy_no"))
     ordered = keyed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc", "copy_no")
