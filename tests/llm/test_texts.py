@@ -55,7 +55,7 @@ def frames(spark, docs, items):
     return spark.createDataFrame([(d, t, "clash", 1) for d, t in docs], "doc_id bigint, text string, item string, pos int"), spark.createDataFrame([(k, t, "s") for k, t in items], "item_id bigint, text string, doc string")
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_seeds=0)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_seeds=0), Limits(table_slots=8)])
 def test_leaks_against_brute_force(spark, limits):
     docs, items = corpus()
     passages = leaked_passages(*frames(spark, docs, items), limits=limits)
@@ -63,6 +63,14 @@ def test_leaks_against_brute_force(spark, limits):
     assert got == brute_leaks(docs, items) and (504, 92) in got and any(d == 500 for d, _ in got)
 
 
+def test_texts_that_repeat_themselves(spark):
+    items = [(1, "same " * 4000), (2, "one two three " * 700), (3, " ".join(f"w{i}" for i in range(40)) + " same" * 20)]
+    docs = [(1, "SAME " * 4000), (2, "two three one " * 900), (3, " ".join(f"w{i}" for i in range(5, 30)) + " x " + " ".join(f"w{i}" for i in range(5, 30)) + " same" * 12)]
+    rows = leaked_passages(*frames(spark, docs, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows if r["exact_words"] >= 12} == brute_leaks(docs, items)
+    assert len(rows) == len({(r["doc_id"], r["item_id"]) for r in rows}) and max(r["alignments"] for r in rows) <= 30
+
+
 def test_single_replaced_word_is_bridged(spark):
     item = [f"q{i}" for i in range(24)]
     for hole in (0, 5, 11, 12):

@@ -6,10 +6,17 @@ Two seeds are used, which ignore every third word: ``11011011011`` and
 and the second at one, and each of the twelve places is ignored by one of these
 three: the run is hit even if any single word of it is replaced. Hits are only
 candidates; each is verified word by word along its alignment.
+
+Words that no item holds can't belong to a seed that hits. A table of the items'
+words (one byte a slot, sized by their counted number) tells them apart before
+anything is hashed. Windows that recur in a document or an item stand for one
+another: of each distinct window and its surroundings the first place is taken,
+so a text that repeats itself has no more alignments than distinct windows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,45 +28,89 @@ from vicinage.session import cut_lineage
 WINDOW = 12
 #: window starts per block of a document
 BLOCK = 2048
+#: places that each seed looks at
+SEEDS = ((0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 5, 6, 8, 9, 11))
+
+
 @dataclass(frozen=True)
 class Limits:
     """``broadcast_seeds``: the item side is broadcast up to so many seed hashes
-    (about 40 bytes each), and joined by exchange beyond it."""
+    (about 40 bytes each), and joined by exchange beyond it. ``table_slots``: the
+    table of item words has at least eight slots a word up to this size; with more
+    words than that, all words are hashed."""
 
     broadcast_seeds: int = 500_000
+    table_slots: int = 2**22
 
 
-def seed_hashes(codes: Column) -> Column:
-    """The hashes of both seeds at every start: array of (pos, first, second).
+def item_words(codes: DataFrame, limits: Limits) -> tuple[bytes, int] | None:
+    """Table of the words of ``codes`` (one column, ``code``): a byte of 1 in the slot of every word.
 
-    ``second`` is null at the last start, which has room for the shorter seed
-    only. Sequences shorter than the window have none. Both seeds look at pairs
-    of neighbouring words, whose hashes are made once for all starts.
+    The driver receives distinct slots, at most ``table_slots``; ``None`` if the
+    words are too many for a table that tells anything apart.
     """
-    pairs = F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    held = F.struct(codes.alias("one"), pairs.alias("two"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(codes) - WINDOW + 1, F.lit(0)))
+    words = codes.select("code").distinct()
+    n = words.limit(limits.table_slots // 8 + 1).count()
+    if n == 0 or n > limits.table_slots // 8:
+        return None
+    slots = 2 ** max(10, (16 * n - 1).bit_length() - 1)
+    table = bytearray(slots)
+    for r in words.select(F.pmod("code", F.lit(slots)).alias("slot")).distinct().collect():
+        table[r["slot"]] = 1
+    return bytes(table), slots
+
+
+def seed_hashes(codes: Column, table: tuple[bytes, int] | None = None) -> Column:
+    """The hashes of both seeds at every start: array of (pos, hash, window).
+
+    ``window`` is the hash of the thirteen words from the one before the start;
+    each run of twelve that the seed may belong to lies within. Starts at which a
+    place of the seed holds a word that isn't in ``table`` are left out.
+    Sequences shorter than the window have none.
+    """
+    if table is None:
+        known = F.array().cast("array<boolean>")
+    else:
+        held_by = lambda c: F.substring(F.lit(table[0]), F.pmod(c, F.lit(table[1])).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        known = F.transform(codes, held_by)
+    held = F.struct(codes.alias("one"), known.alias("known"))
+    empty = F.array().cast("array<struct<pos:int,hash:bigint,window:bigint>>")
 
     def at(words: Column) -> Column:
-        one, two = words["one"], words["two"]
-        return F.transform(
-            starts,
-            lambda i: F.struct(
-                i.cast("int").alias("pos"),
-                F.xxhash64(F.lit(0), *[F.get(two, i + p) for p in (0, 3, 6, 9)]).alias("first"),
-                F.when(i <= F.size(one) - WINDOW, F.xxhash64(F.lit(1), F.get(one, i), *[F.get(two, i + p) for p in (2, 5, 8)], F.get(one, i + 11))).alias("second"),
-            ),
-        )
-
-    # a one-element array names the pairs, so that they aren't made again at every start
-    named = F.flatten(F.transform(F.array(held), at))
-    return F.when(F.size(codes) >= WINDOW, named).otherwise(F.array().cast("array<struct<pos:int,first:bigint,second:bigint>>"))
-
-
-def _unpacked(rows: DataFrame, keys: list[str], at: Column) -> DataFrame:
-    """One row per hash: keys, ``pos`` and ``hash``; ``rows`` has the array in ``s``."""
-    starts = rows.select(*keys, at.alias("__at"), F.explode("s").alias("s"))
-    return starts.select(*keys, (F.col("__at") + F.col("s.pos")).alias("pos"), F.explode(F.array("s.first", "s.second")).alias("hash")).filter(F.col("hash").isNotNull())
+        one, known = words["one"], words["known"]
+
+        def holds(places: Sequence[int]):
+            def test(i: Column) -> Column:
+                out = F.get(known, i + places[0])
+                for p in places[1:]:
+                    out = out & F.get(known, i + p)
+                return out
+
+            return test
+
+        def hashed(starts: Column, n: int) -> Column:
+            return F.transform(
+                starts,
+                lambda i: F.struct(
+                    i.cast("int").alias("pos"),
+                    F.xxhash64(F.lit(n), *[F.get(one, i + p) for p in SEEDS[n]]).alias("hash"),
+                    F.xxhash64(F.slice(one, F.greatest(i, F.lit(1)), F.when(i > 0, 13).otherwise(12))).alias("window"),
+                ),
+            )
+
+        starts = F.sequence(F.lit(0), F.size(one) - WINDOW + 1)
+        if table is not None:
+            # the places that both seeds look at come first
+            starts = F.filter(starts, holds([p for p in SEEDS[0] if p in SEEDS[1]]))
+        first, second = starts, F.filter(starts, lambda i: i <= F.size(one) - WINDOW)
+        if table is not None:
+            first = F.filter(first, holds([p for p in SEEDS[0] if p not in SEEDS[1]]))
+            second = F.filter(second, holds([p for p in SEEDS[1] if p not in SEEDS[0]]))
+        return F.concat(hashed(first, 0), hashed(second, 1))
+
+    # a one-element array names the words, so that they aren't made again at every start
+    named = F.flatten(F.transform(F.filter(F.array(held), lambda w: F.size(w["one"]) >= WINDOW), at))
+    return F.coalesce(named, empty)
 
 
 def _alignment(doc: Column, item: Column, shift: Column) -> Column:
@@ -113,14 +164,17 @@ def leaked_passages(
     bridge: int = 5,
     limits: Limits = Limits(),
 ) -> DataFrame:
-    """Passages of ``items`` inside ``corpus``, one row per document, item and alignment.
-
-    Columns: ``doc_id``, ``item_id``, ``shift`` (place of the item's first word in
-    the document), ``exact_words`` (longest run of equal consecutive words),
-    ``tolerant_words`` and ``substitutions`` (longest stretch of equal words in
-    which replaced words lie at least ``bridge`` words apart; it starts and ends
-    in an equal word, so a replaced word at its edge isn't counted). All alignments
-    that share a seed are given, however short; the caller filters.
+    """Passages of ``items`` inside ``corpus``, one row per document and item.
+
+    Columns: ``doc_id``, ``item_id``, ``exact_words`` (longest run of equal
+    consecutive words), ``tolerant_words`` and ``substitutions`` (longest stretch
+    of equal words in which replaced words lie at least ``bridge`` words apart; it
+    starts and ends in an equal word, so a replaced word at its edge isn't
+    counted), ``shift`` (place of the item's first word in the document at the
+    alignment of that stretch) and ``alignments`` (how many of them share a seed;
+    of windows that recur only the first place counts, so what a document repeats
+    is found where it stands first). Pairs that share a seed are given however
+    short their runs; the caller filters.
 
     Words are runs of letters and digits without regard to case. Documents with
     a null text or id and items likewise have no passages, nor have texts of
@@ -129,33 +183,38 @@ def leaked_passages(
 
     The corpus is read twice (hits, then verification of the few documents with
     hits) and neither its texts nor its hashes are shuffled while the items'
-    hashes fit the broadcast limit; beyond it both sides are exchanged by hash.
+    hashes fit the broadcast limit; beyond it those hashes of the corpus whose
+    words all occur in items are exchanged, and Spark splits hot ones.
     """
-    spark = corpus.sparkSession
     docs = corpus.select(corpus[doc_id].alias("doc"), corpus[text].alias("text")).filter(F.col("doc").isNotNull() & F.col("text").isNotNull())
     held = items.select(items[item_id].alias("item"), word_codes(items[text]).alias("item_codes")).filter(F.col("item").isNotNull() & F.col("item_codes").isNotNull()).distinct()
     held = cut_lineage(held)
-    seeds = _unpacked(held.select("item", seed_hashes(F.col("item_codes")).alias("s")), ["item"], F.lit(0)).withColumnRenamed("pos", "item_pos").distinct()
-    small = seeds.count() <= limits.broadcast_seeds
+    seeds = held.select("item", F.explode(seed_hashes(F.col("item_codes"))).alias("s")).groupBy("item", "s.hash", F.col("s.window").alias("item_window")).agg(F.min("s.pos").alias("item_pos"))
+    small = seeds.limit(limits.broadcast_seeds + 1).count() <= limits.broadcast_seeds
     side = F.broadcast(seeds) if small else seeds
-    # long texts are hashed in overlapping blocks of bounded length
+    table = item_words(held.filter(F.size("item_codes") >= WINDOW).select(F.explode("item_codes").alias("code")), limits)
+    # long texts are hashed in overlapping blocks of bounded length, each with the word before it
     coded = docs.select("doc", word_codes(F.col("text")).alias("codes"))
-    blocks = coded.select("doc", "codes", F.explode(F.sequence(F.lit(0), F.greatest(F.size("codes") - WINDOW, F.lit(0)), F.lit(BLOCK))).alias("at"))
-    blocks = blocks.select("doc", "at", F.slice("codes", F.col("at") + 1, F.lit(BLOCK + WINDOW - 1)).alias("codes"))
-    hashes = _unpacked(blocks.select("doc", "at", seed_hashes(F.col("codes")).alias("s")), ["doc"], F.col("at"))
-    hits = hashes.join(side, "hash").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
-    hits = cut_lineage(hits)
+    blocks = coded.select("doc", "codes", F.explode(F.sequence(F.lit(0), F.greatest(F.size("codes") - WINDOW, F.lit(0)), F.lit(BLOCK))).alias("start"))
+    blocks = blocks.select("doc", F.greatest(F.col("start") - 1, F.lit(0)).alias("at"), F.slice("codes", F.greatest("start", F.lit(1)), F.lit(BLOCK + WINDOW)).alias("codes"))
+    hashes = blocks.select("doc", "at", F.explode(seed_hashes(F.col("codes"), table)).alias("s")).select("doc", (F.col("at") + F.col("s.pos")).alias("pos"), "s.hash", "s.window")
+    met = hashes.join(side, "hash").groupBy("doc", "item", "hash", "window", "item_window").agg(F.min("pos").alias("pos"), F.min("item_pos").alias("item_pos"))
+    hits = cut_lineage(met.select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct())
     # documents without a hit leave before their words are counted again
     texts = docs.join(hits.select("doc").distinct(), "doc", "left_semi").select("doc", word_codes(F.col("text")).alias("codes"))
     aligned = hits.join(texts, "doc").join(F.broadcast(held) if small else held, "item")
-    found = aligned.select("doc", "item", "shift", _runs(_alignment(F.col("codes"), F.col("item_codes"), F.col("shift")), bridge).alias("r")).distinct()
+    runs = aligned.select("doc", "item", "shift", _runs(_alignment(F.col("codes"), F.col("item_codes"), F.col("shift")), bridge).alias("r"))
+    # of repeated rows each alignment counts once
+    best = F.max_by(F.struct("r.best_span", "r.best_subs", "shift"), F.struct("r.best_span", "r.best", -F.col("r.best_subs"), -F.col("shift")))
+    found = runs.groupBy("doc", "item").agg(F.max("r.best").alias("exact_words"), best.alias("b"), F.count_distinct("shift").alias("alignments"))
     return found.select(
         F.col("doc").alias(doc_id),
         F.col("item").alias(item_id),
-        "shift",
-        F.col("r.best").alias("exact_words"),
-        F.col("r.best_span").alias("tolerant_words"),
-        F.col("r.best_subs").alias("substitutions"),
+        F.col("b.shift").alias("shift"),
+        "exact_words",
+        F.col("b.best_span").alias("tolerant_words"),
+        F.col("b.best_subs").alias("substitutions"),
+        "alignments",
     )
 
 
