@@ -96,6 +96,59 @@ def test_quotas_are_optimal_on_small_cases():
     assert balanced_targets(np.array([2, 100, 100]), 62).tolist() == [2, 30, 30]
 
 
+def cost_of(flow, multiplicity, target, steps=8):
+    """Cost of a flow by the same convex costs, counted record by record."""
+    total = 0
+    for c, m in enumerate(multiplicity):
+        for i in range(int(flow[c].sum())):
+            total += 2 * (2 * (i // m) + 1)
+    for f, t in enumerate(target):
+        part = max(1, -(-int(t) // steps))
+        total += sum(i // part + 1 for i in range(max(0, int(flow[:, f].sum() - t))))
+    return total
+
+
+def test_quotas_cost_no_more_than_any_other_choice():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for _ in range(25):
+        capacity = rng.integers(0, 3, (3, 2))
+        multiplicity = rng.integers(1, 3, 3)
+        room = capacity * multiplicity[:, None]
+        size = int(room.sum() * rng.uniform(0.3, 0.9))
+        flow = class_quotas(capacity, multiplicity, size)
+        assert flow.sum() == size and (flow <= room).all() and (flow >= 0).all()
+        target = balanced_targets(room.sum(0), size)
+        every = itertools.product(*[range(v + 1) for v in room.flatten()])
+        best = min(cost_of(np.array(e).reshape(room.shape), multiplicity, target) for e in every if sum(e) == size)
+        assert cost_of(flow, multiplicity, target) == best
+
+
+def test_quotas_of_many_classes_take_few_steps():
+    import time
+
+    rng = np.random.default_rng(3)
+    capacity = rng.integers(0, 400, (4096, 12)) * (rng.random((4096, 12)) < 0.3)
+    began = time.time()
+    flow = class_quotas(capacity, np.ones(4096, dtype=np.int64), 1_000_000)
+    assert flow.sum() == 1_000_000 and (flow <= capacity).all()
+    assert time.time() - began < 60
+
+
+def test_planted_varieties_are_covered(spark):
+    # forty families of unlike size; a subset holds nearly equal numbers of each, whatever their share
+    rows = [(f"r{f}_{i}", f"S{f}_{i % 60}", f"fam{f:02d}") for f in range(40) for i in range(60 + 20 * f)]
+    for size in (200, 800):
+        got = subset(spark, rows, size)
+        counts = [sum(g[2] == f"fam{f:02d}" for g in got) for f in range(40)]
+        assert len(got) == size and max(counts) - min(counts) <= 1
+        assert len({g[1] for g in got}) == size
+    assert len(subset(spark, rows, 800, max_classes=50)) == 800
+    with pytest.raises(ValueError, match="coarse"):
+        subset(spark, [(f"i{k}", "S", f"f{k}") for k in range(300)], 5)
+
+
 def subset(spark, rows, size, **kw):
     df = spark.createDataFrame([(i, s, f, "clash") for i, s, f in rows], "id string, system string, family string, fine string")
     return [(r["id"], r["fine"], r["coarse"]) for r in varied_subset(df, item="id", fine="system", coarse="family", size=size, **kw).collect()]
