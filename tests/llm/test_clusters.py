@@ -89,6 +89,42 @@ def test_components_go_on_until_the_criterion_rises(spark):
     assert all(mixture.criterion[k] > mixture.criterion[best] for k in mixture.criterion if k > best)
 
 
+@pytest.mark.parametrize("dimensions,spread", [(7, 0.02), (15, 0.02), (15, 0.2)])
+def test_blobs_of_many_dimensions(spark, dimensions, spread):
+    rng = np.random.default_rng(dimensions)
+    centres = rng.uniform(0, 1, (6, dimensions))
+    rows = [(f"p{k}_{i}", *map(float, x)) for k in range(6) for i, x in enumerate(rng.normal(centres[k], spread * 0.2, (150, dimensions)))]
+    names = [f"v{i}" for i in range(dimensions)]
+    df = spark.createDataFrame(rows, "case string, " + ", ".join(f"{n} double" for n in names))
+    assigned, mixture = mixture_clusters(df, item="case", features=names, components=(1, 2, 4, 6, 8))
+    assert mixture.size == 6
+    found = collections.defaultdict(collections.Counter)
+    for r in assigned.collect():
+        found[r["item"].split("_")[0]][r["cluster_id"]] += 1
+    assert all(max(c.values()) >= 0.98 * 150 for c in found.values()) and len({c.most_common(1)[0][0] for c in found.values()}) == 6
+
+
+def test_few_cells_tell_blobs_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"p{k}_{i}", *map(float, x)) for k in range(4) for i, x in enumerate(rng.normal([k, 2 * k % 3, 0], 0.03, (500, 3)))]
+    df = spark.createDataFrame(rows, "case string, a double, b double, c double")
+    with pytest.warns(UserWarning, match="wide"):
+        mixture = fit_mixture(df, ("a", "b", "c"), max_cells=60, components=(1, 2, 3, 4, 5, 6))
+    assert mixture.size == 4
+
+
+def test_far_rows_leave_the_rest_as_it_is(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"p{k}_{i}", float(a), float(b)) for k in range(3) for i, (a, b) in enumerate(rng.normal((k, -k), 0.05, (1000, 2)))]
+    rows += [(f"far_{i}", 1e6 + i, -1e6) for i in range(3)]
+    assigned, mixture = mixture_clusters(table(spark, rows), item="case", features=("x", "y"), components=(1, 2, 3, 4, 5, 6))
+    groups = collections.defaultdict(collections.Counter)
+    for r in assigned.collect():
+        groups[r["item"].split("_")[0]][r["cluster_id"]] += 1
+    assert mixture.size >= 3 and len({g.most_common(1)[0][0] for g in groups.values()}) >= 3
+    assert all(g.most_common(1)[0][1] >= 0.9 * g.total() for g in groups.values())
+
+
 def test_a_bound_that_is_hit_is_told(spark):
     df = many_blobs(spark)
     with pytest.raises(ValueError, match="still falls at 16"):

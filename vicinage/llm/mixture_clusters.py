@@ -3,9 +3,14 @@
 All rows are standardised and reduced by principal components, and then
 summarised once by cells of the reduced space: number, sum and sum of products
 of the rows of a cell. Expectation maximisation runs on these summaries, whose
-number is bounded by ``max_cells`` however many rows there are; the maximisation
-step uses the exact sums, so means and covariances count every row. Assignment
-is a column expression over all rows.
+number is bounded by ``max_cells`` however many rows there are; the rows of a cell
+share their membership, and both steps use the exact sums, so that every row
+counts and what is maximised is a lower bound of the rows' own likelihood, which
+no width of cells can raise above it. Assignment is a column expression over all
+rows.
+
+Scales are robust (by quartiles), so that a few far rows neither flatten the rest
+nor fill its cells; cells are laid where rows are, as fine as their number allows.
 """
 
 from __future__ import annotations
@@ -43,7 +48,7 @@ class Mixture:
 
     def reduced(self) -> list[Column]:
         """The reduced features as columns."""
-        standard = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(self.features, self.mean, self.scale)]
+        standard = _standard(self.features, self.mean, self.scale)
         return [_linear(standard, axis) for axis in self.axes]
 
     @property
@@ -75,6 +80,11 @@ def _quadratic(weights, centres, precisions, log_norms):
     return np.concatenate([constant[:, None], pulled, -precisions.reshape(len(weights), -1) / 2], 1)
 
 
+def _standard(features: Sequence[str], mean: Sequence[float], scale: Sequence[float]) -> list[Column]:
+    far = F.lit(FAR)
+    return [F.greatest(F.least((F.col(f) - F.lit(float(m))) / F.lit(float(s)), far), -far) for f, m, s in zip(features, mean, scale)]
+
+
 def _linear(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     total = F.lit(0.0)
     for c, w in zip(columns, weights):
@@ -82,42 +92,66 @@ def _linear(columns: Sequence[Column], weights: Sequence[float]) -> Column:
     return total
 
 
+#: widths of cells that are tried, in deviations; the finest whose cells fit is taken
+WIDTHS = tuple(2.0**-k for k in range(-3, 11))
+#: values further from the middle than so many robust deviations count as if there
+FAR = 1e4
+
+
 def _summaries(df: DataFrame, features: Sequence[str], explained: float, ridge: float, max_cells: int):
     """Standardisation, reduction and the cell summaries (at most ``max_cells`` rows).
 
-    Cells are half as wide as the deviation that the ridge leaves to a component
-    without spread, so they hide no component that the ridge allows; where that
-    takes more than ``max_cells``, they are wider, and a warning says so.
+    Cells need be no finer than half the deviation that the ridge leaves to a
+    component without spread, as they then hide no component that the ridge
+    allows; where that takes more than ``max_cells`` cells that hold rows, they
+    are wider, and a warning says so if they exceed it. The number of cells held
+    is estimated for all widths in one pass. Means and covariances count values
+    beyond ``FAR`` robust deviations as lying there.
     """
     d = len(features)
-    sums = [F.count(F.lit(1)).alias("n")] + [F.avg(f).alias(f"m{i}") for i, f in enumerate(features)]
-    sums += [F.covar_pop(features[i], features[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
-    row = df.agg(*sums).first()
-    if not row["n"]:
+    marks = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
+    if not marks["n"]:
         return None
-    mean = np.array([row[f"m{i}"] for i in range(d)])
+    mean, scale = np.zeros(d), np.ones(d)
+    for i in range(d):
+        low, middle, high = marks[f"q{i}"]
+        # quartiles of a normal variable are 1.349 deviations apart
+        mean[i], spread = middle, (high - low) / 1.349
+        scale[i] = spread if spread > 1e-9 * max(1.0, abs(middle)) else marks[f"s{i}"]
+        if not scale[i] > 1e-12:
+            scale[i] = 1.0
+    standard = _standard(features, mean, scale)
+    points = df.select(*[z.alias(f"u{i}") for i, z in enumerate(standard)])
+    row = points.agg(*[F.covar_pop(f"u{i}", f"u{j}").alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]).first()
     cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    scale = np.sqrt(np.maximum(np.diag(cov), 0))
-    scale[scale <= 1e-12] = 1.0
-    values, vectors = np.linalg.eigh(cov / np.outer(scale, scale))
+    values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)
     share = np.cumsum(values[order]) / max(values.sum(), 1e-300)
     keep = int(np.searchsorted(share, explained - 1e-12)) + 1
     axes = vectors[:, order[:keep]].T
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
-    standard = [(F.col(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(features, mean, scale)]
-    reduced = [_linear(standard, a).alias(f"z{i}") for i, a in enumerate(axes)]
-    r, most = len(axes), max(1, int(max_cells ** (1 / len(axes)) + 1e-9))
-    per_axis = min(most, max(1, int(np.ceil(16 / np.sqrt(ridge)))))
-    width = 8.0 / per_axis
-    if width > np.sqrt(ridge):
-        warnings.warn(f"cells are {width:.3g} deviations wide, more than the ridge: finer components can't be told apart", stacklevel=3)
-    cells = df.select(*reduced)
-    keys = [F.least(F.greatest(F.floor((F.col(f"z{i}") + 4.0) / width), F.lit(0)), F.lit(per_axis - 1)).alias(f"k{i}") for i in range(r)]
+    r = len(axes)
+    cells = points.select(*[_linear([F.col(f"u{i}") for i in range(d)], a).alias(f"z{k}") for k, a in enumerate(axes)])
+    # what the driver receives is bounded in numbers, whatever the dimensions
+    most = max(1, min(max_cells, 6_000_000 // (1 + r + r * (r + 1) // 2)))
+    finest = np.sqrt(ridge) / 2
+    widths = [w for w in WIDTHS if w > finest] + [float(finest)]
+    at = lambda w: [F.floor(F.col(f"z{i}") / float(w)) for i in range(r)]
+    held = cells.agg(*[F.approx_count_distinct(F.xxhash64(*at(w)), 0.02).alias(f"w{k}") for k, w in enumerate(widths)]).first()
+    fitting = [w for k, w in enumerate(widths) if held[f"w{k}"] <= 0.9 * most]
     totals = [F.count(F.lit(1)).alias("n")] + [F.sum(f"z{i}").alias(f"s{i}") for i in range(r)]
     totals += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i in range(r) for j in range(i, r)]
-    # at most max_cells rows of fixed width
-    got = cells.groupBy(*keys).agg(*totals).orderBy(*[f"k{i}" for i in range(r)]).toPandas()
+    width = min(fitting, default=widths[0])
+    keys = [k.alias(f"k{i}") for i, k in enumerate(at(width))]
+    while True:
+        # at most ``most`` rows of fixed width
+        got = cells.groupBy(*keys).agg(*totals).orderBy(*[f"k{i}" for i in range(r)]).limit(most + 1).toPandas()
+        if len(got) <= most:
+            break
+        width *= 2
+        keys = [k.alias(f"k{i}") for i, k in enumerate(at(width))]
+    if width > np.sqrt(ridge) and len(got) < marks["n"]:
+        warnings.warn(f"cells are {width:.3g} deviations wide, more than the ridge: finer components can't be told apart", stacklevel=3)
     n = got["n"].to_numpy(float)
     first = got[[f"s{i}" for i in range(r)]].to_numpy(float)
     second = np.stack([np.stack([got[f"p{min(i, j)}_{max(i, j)}"].to_numpy(float) for j in range(r)], 1) for i in range(r)], 1)
@@ -141,9 +175,12 @@ def _fit(n, first, second, k, ridge, rounds, seed):
         chosen.append(int(rng.choice(len(n), p=gap / gap.sum())) if gap.sum() > 0 else chosen[0])
         nearest = np.minimum(nearest, ((points - points[chosen[-1]]) ** 2).sum(1))
     centres, weights = points[chosen].copy(), np.full(k, 1 / k)
-    covariances = np.repeat((np.eye(d) / k ** (2 / d))[None], k, 0) + ridge * np.eye(d)
-    terms = np.concatenate([np.ones((len(n), 1)), points, (points[:, :, None] * points[:, None, :]).reshape(len(n), -1)], 1)
+    # far rows must not set the first spread: the middle of the distances to the chosen centres does
+    middle = np.sort(nearest)[np.searchsorted(np.cumsum(n[np.argsort(nearest)]), total / 2)]
+    covariances = np.repeat((np.eye(d) * max(middle, ridge))[None], k, 0)
     moments = np.concatenate([n[:, None], first, second.reshape(len(n), -1)], 1)
+    # means over the rows of a cell of 1, z and z z': log densities are averaged exactly
+    terms = moments / n[:, None]
     # blocks bound the memory, whatever the numbers of cells and components
     block = max(1, 2_000_000 // k)
     before, likelihood = -np.inf, -np.inf
@@ -189,6 +226,7 @@ def fit_mixture(
     explained: float = 0.99,
     ridge: float = 1e-3,
     rounds: int = 100,
+    starts: int = 2,
     max_cells: int = 262_144,
     seed: int = 3,
 ) -> Mixture | None:
@@ -200,8 +238,10 @@ def fit_mixture(
     criterion wasn't seen to rise again, it is an error. A given list of
     ``components`` is tried as it stands, with a warning if its last is the best
     (``settled`` tells). ``df`` must hold finite numbers in ``features``; all rows
-    count. ``None`` for an empty table. Two passes over the rows; the driver receives at most
-    ``max_cells`` summaries of fixed width.
+    count. Of ``starts`` beginnings the one of the highest likelihood counts.
+    ``None`` for an empty table. Four passes over the rows (quartiles, products,
+    number of cells, cells); the driver receives at most ``max_cells`` summaries
+    of fixed width.
     """
     summary = _summaries(df, features, explained, ridge, max_cells)
     if summary is None:
@@ -211,7 +251,7 @@ def fit_mixture(
     for k in _ladder(most) if components is None else sorted(set(components)):
         if k > len(n) or (components is None and idle == patience):
             break
-        likelihood, weights, centres, covariances = _fit(n, first, second, k, ridge, rounds, seed)
+        likelihood, weights, centres, covariances = max((_fit(n, first, second, k, ridge, rounds, seed + i) for i in range(starts if k > 1 else 1)), key=lambda x: x[0])
         free = k * (d + d * (d + 1) / 2) + k - 1
         criterion[k] = float(free * np.log(n.sum()) - 2 * likelihood)
         idle += 1
