@@ -184,11 +184,16 @@ RESIDUE = [
     ("Reviewed by {{ reviewer }}.", "slot"), ("Value: <FORMULA>", "slot"), ("Cluster [INSERT Cluster Id] was reviewed.", "slot"), ("made for XXX pool name XXX", "slot"), ("Name: ____ (to be filled in)", "slot"), ("see %(batch date)s now", "slot"),
     ("[Write the summary in two sentences.]", "slot"), ("<!-- Title goes here -->", "slot"), ("TODO: describe it", "slot"), ("The sum is\n<insert figure\ncaption> here", "slot"),
     ("404 Not Found", "error"), ("<html><body><h1>502 Bad Gateway</h1></body></html>", "error"), ("PÁGINA NO ENCONTRADA. VUELVA AL INICIO.", "error"), ("The sample grew well.\nAccess denied.\nIt is cubic.", "error"),
-    ("Please enable JavaScript to view this report.", "script"), ("Veuillez activer\nJavaScript pour afficher le rapport.", "script"), ("Texto de relleno. Texto de relleno.", "filler"), ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("Click here to enter text.", "instruction"),
+    ("Please enable JavaScript to view this report.", "script"),
+    # a second set, from pages of other kinds than the project's
+    ("This site can't be reached. The server took too long to respond.", "error"), ("Sorry, the product you are looking for is no longer available.", "error"), ("Fatal error: database connection refused.", "error"), ("Please complete the captcha to continue.", "error"), ("We are currently down for maintenance. We'll be back soon!", "error"), ("Erro interno do servidor. Tente novamente.", "error"), ("Pagina non trovata", "error"),
+    ("You need to enable JavaScript to run this app.", "script"), ("This website requires JavaScript to work properly.", "script"), ("Your browser does not support JavaScript!", "script"), ("Für diese Seite muss JavaScript aktiviert sein: bitte JavaScript aktivieren.", "script"),
+    ("[Your company name]", "slot"), ("Dear {{ first_name }},", "slot"), ("Total: {{ order.total | currency, 2 }}", "slot"), ("[Insert, in two or three sentences, what was found, how sure you are of it, and whom the reader may ask if the figures of the table below don't agree]", "slot"), ("Report for %CUSTOMER%", "slot"), ("<% render page,\n header %>", "slot"), ("Text eingeben", "instruction"), ("Replace this text with your own.", "instruction"), ("Dies ist ein Blindtext.", "filler"), ("Veuillez activer\nJavaScript pour afficher le rapport.", "script"), ("Texto de relleno. Texto de relleno.", "filler"), ("Lorem ipsum dolor sit amet consectetur.", "filler"), ("Click here to enter text.", "instruction"),
 ]
 CLEAN = [
     "Page not found errors in the crawl log concern 12 stale links and no data.", "A server error interrupted batch 9; the rows written before it are complete.", "Scripts are required only for plotting; the text above was checked by hand.",
     "Reflections {hkl} with h + k odd are absent, as are the {110} faces.", "Along [100] the stacking repeats, and <110> directions are equivalent.", r"the ratio is \frac{c}{a} = 1.6, see $E_{hull}$ in the table", 'settings {"pool": "wildcard", "quota": 10} in both runs',
+    "Connection timed out twice during the nightly run, after which the fetch succeeded.", "We asked users to enable JavaScript in the 2019 survey of viewers.", "Die Seite wurde nicht gefunden, nachdem der Export verschoben war.", "The service was unavailable between 3 and 4 o'clock; batch 7 was repeated.", "JavaScript is required only by the old plotting code.",
     "Use of dummy text in the layout test ended with batch 3.", "We filled all TODO items from the last review and removed the sample rows.", "The template slot for the formula was open in the first draft; it now reads LiO2.", "Access to the older mirror was denied until the certificate was renewed.", "", "El vecino con dolor es JVASP-1.", "<b>bold</b> and <i>italic</i>",
 ]
 
