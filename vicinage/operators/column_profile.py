@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from vicinage.session import cut_lineage
 
 _BLANKS = r"[\s\p{Z}\x{0085}\x{FEFF}]"
+_NUMERIC = ("double", "float", "decimal", "bigint", "int", "smallint", "tinyint")
 MISSING_WORDS = ("nan", "none", "null", "n/a", "")
 
 
@@ -25,14 +26,17 @@ MISSING_WORDS = ("nan", "none", "null", "n/a", "")
 class FieldRule:
     """What is known about a column; all parts may be absent.
 
-    ``low``/``high``: bounds of the values. ``pattern``: a regular expression the
-    whole value must match. ``sorted_by``: the value is a list joined by this
+    ``low``/``high``: bounds of the values. ``masks``: a regular expression for the
+    masks that well-formed values have; whatever has another mask is a fault.
+    ``pattern``: a regular expression that a value of such a mask must match as a
+    whole, for what masks don't tell, such as fixed letters. ``sorted_by``: the value is a list joined by this
     separator whose parts must differ and stand in code-point order.
     ``distribution``: the shares of the stored values are compared between loads.
     """
 
     low: float | None = None
     high: float | None = None
+    masks: str | None = None
     pattern: str | None = None
     sorted_by: str | None = None
     distribution: bool = False
@@ -78,13 +82,16 @@ def is_missing(column: Column, kind: str) -> Column:
     return column.isNull()
 
 
-def _format_fault(column: Column, rule: FieldRule) -> Column:
+def _format_fault(column: Column, mask: Column, rule: FieldRule) -> Column:
+    """The mask decides first; only values of an admitted mask are held against the exact rule."""
     fault = F.lit(False)
     if rule.pattern is not None:
         fault = ~column.rlike(rf"\A(?:{rule.pattern})\z")
     if rule.sorted_by is not None:
         parts = F.split(column, rf"\Q{rule.sorted_by}\E", -1)
         fault = fault | (parts != F.array_sort(F.array_distinct(parts)))
+    if rule.masks is not None:
+        fault = F.when(~mask.rlike(rf"\A(?:{rule.masks})\z"), F.lit(True)).otherwise(fault)
     return fault
 
 
@@ -97,10 +104,10 @@ def mask_counts(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule], *
     exchange, after partial aggregation.
     """
     kinds = dict(df.dtypes)
-    tests, cells = [], []
+    tests, faults, cells = [], [], []
     for i, (name, rule) in enumerate(rules.items()):
         column, text = df[name], df[name].cast("string")
-        number = column.cast("double") if kinds[name] not in ("string", "boolean") else F.lit(None).cast("double")
+        number = column.cast("double") if kinds[name].startswith(_NUMERIC) else F.lit(None).cast("double")
         out = F.lit(False)
         if rule.low is not None:
             out = out | (number < rule.low)
@@ -114,8 +121,8 @@ def mask_counts(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule], *
             number.alias(f"__number{i}"),
             mask.alias(f"__mask{i}"),
             F.coalesce(out, F.lit(False)).alias(f"__out{i}"),
-            F.coalesce(_format_fault(text, rule), F.lit(False)).alias(f"__bad{i}"),
         ]
+        faults.append(F.coalesce(_format_fault(F.col(f"__text{i}"), F.col(f"__mask{i}"), rule), F.lit(False)).alias(f"__bad{i}"))
         present = ~F.col(f"__missing{i}")
         cell = [
             F.lit(name).alias("field"),
@@ -126,10 +133,10 @@ def mask_counts(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule], *
             (present & F.col(f"__bad{i}")).cast("long").alias("bad_format"),
         ]
         if ranges:
-            cell += [F.when(present, F.col(f"__number{i}")).alias("number"), F.when(present, F.col(f"__text{i}")).alias("text")]
+            cell += [F.when(present, F.col(f"__number{i}")).alias("number"), F.when(present & F.lit(kinds[name] == "string"), F.col(f"__text{i}")).alias("text"), F.when(present, F.xxhash64(f"__text{i}")).alias("held")]
         cells.append(F.struct(*cell))
     keyed = [df[keys.load].alias("load"), df[keys.part].alias("part"), df[keys.series].alias("series"), df[keys.number].alias("number")]
-    long = df.select(*keyed, *tests).select("load", "part", "series", "number", F.explode(F.array(*cells)).alias("c"))
+    long = df.select(*keyed, *tests).select("*", *faults).select("load", "part", "series", "number", F.explode(F.array(*cells)).alias("c"))
     sums = [
         F.max("series").alias("series"),
         F.max("number").alias("load_no"),
@@ -144,7 +151,7 @@ def mask_counts(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule], *
             F.max("c.number").alias("high"),
             F.min("c.text").alias("low_text"),
             F.max("c.text").alias("high_text"),
-            F.approx_count_distinct("c.text", 0.05).alias("distinct_in_mask"),
+            F.approx_count_distinct("c.held", 0.05).alias("distinct_in_mask"),
         ]
     return long.groupBy("load", "part", "c.field", "c.mask", "c.value").agg(*sums)
 
@@ -201,7 +208,7 @@ def profile_loads(df: DataFrame, keys: LoadKeys, rules: Mapping[str, FieldRule],
     ``missing_rate``, ``distinct_values`` (exact for fields with ``distribution``,
     which have a row per value; else a sketch of 5 % error per mask, summed over
     masks), ``low``/``high`` (numbers) or
-    ``low_text``/``high_text``, ``out_of_range``, ``bad_format``,
+    ``low_text``/``high_text`` (texts), ``out_of_range``, ``bad_format``,
     ``dominant_mask``, ``rare_mask_values`` (values whose mask holds less than
     ``rare_share`` of the field over all loads), ``missing_rate_change`` and
     ``mask_divergence`` against the load before (null without one).
