@@ -1,8 +1,10 @@
 """Ranked reference pools for many query entities in one job.
 
-The universe is annotated against all queries by one broadcast cross join of a
-stated, size-checked query table; pools are filters, scores and two ranks (quota
-within a system, then size). Queries beyond the limit are worked off in blocks.
+The universe meets all queries of a block once, in a broadcast join with a stated,
+size-checked query table. That pass yields narrow entries (query, pool, candidate,
+score), which two ranks (within a system, then within the pool) cut before their
+exchanges; only what is chosen is joined with the full rows again. Queries beyond
+the limit are worked off in blocks.
 """
 
 from __future__ import annotations
@@ -62,15 +64,28 @@ def annotate(universe: DataFrame, queries: DataFrame, config: PoolConfig = PoolC
     or by crystal system if the query has no space group. ``queries`` must not
     exceed ``queries_per_block`` rows (checked); see :func:`in_blocks`.
     """
+    return flags(_meet(universe, queries, config))
+
+
+def _meet(universe: DataFrame, queries: DataFrame, config: PoolConfig) -> DataFrame:
     n = queries.limit(config.queries_per_block + 1).count()
     if n > config.queries_per_block:
         raise ValueError(f"more than {config.queries_per_block} queries in a block")
-    known = strict_flag(F.col("known_synthesized"))
-    stable = F.coalesce(F.col("energy_above_hull") <= config.stable_hull, F.lit(False)) | F.coalesce(known, F.lit(False))
     # every universe row meets all queries of the block, so the work is spread before the rows multiply
     spread = universe.repartition(int(universe.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    side = spread.withColumn("known_flag", known).withColumn("is_stable_or_known", stable).withColumnRenamed("jid", "candidate_id")
-    both = side.crossJoin(F.broadcast(queries)).filter(F.col("candidate_id") != F.col("query_id"))
+    both = candidates(spread, config).crossJoin(F.broadcast(queries))
+    return both.filter(F.col("candidate_id") != F.col("query_id"))
+
+
+def candidates(universe: DataFrame, config: PoolConfig) -> DataFrame:
+    """Universe rows as candidates: ``candidate_id``, ``known_flag`` and ``is_stable_or_known``."""
+    known = strict_flag(F.col("known_synthesized"))
+    stable = F.coalesce(F.col("energy_above_hull") <= config.stable_hull, F.lit(False)) | F.coalesce(known, F.lit(False))
+    return universe.withColumn("known_flag", known).withColumn("is_stable_or_known", stable).withColumnRenamed("jid", "candidate_id")
+
+
+def flags(both: DataFrame) -> DataFrame:
+    """Overlaps, flags and symmetry of rows that hold a candidate and a query."""
     overlap = F.size(F.array_intersect("elements", "q_elements"))
     by_group = F.col("q_spacegroup_number").isNotNull()
     distance = F.when(by_group, F.abs(F.col("spacegroup_number") - F.col("q_spacegroup_number"))).otherwise(F.abs(F.col("crystal_system_code") - F.col("q_crystal_system_code"))).cast("double")
@@ -128,52 +143,111 @@ def scores() -> dict[str, Column]:
 SEED_OFFSETS = {"same_family": 0, "adjacent_family": 0, "boundary_contrast": 0, "wildcard": 17, "negative_control": 31}
 
 
-def select_ranked(rows: DataFrame, pool: str, score: Column, config: PoolConfig) -> DataFrame:
-    """The best rows per query under a quota per chemical system, ranked.
+def _order() -> list[Column]:
+    return [F.desc("selection_score"), F.desc("is_stable_or_known"), F.desc("element_overlap_count"), F.asc("jitter"), F.asc("candidate_id")]
 
-    Going down the order and skipping full systems keeps exactly the rows whose
-    rank within their system is inside the quota; so two ranks do it, and Spark
-    prunes both before their exchanges.
+
+@dataclass(frozen=True)
+class Room:
+    """How many rows of a system (``None``: all) and of a pool may be chosen."""
+
+    system: int | None
+    pool: int
+
+    @staticmethod
+    def of(config: PoolConfig, name: str) -> Room:
+        return Room(config.quotas[name] or None, config.sizes[name])
+
+    def besides(self, taken: list[Room]) -> Room:
+        """Room that holds every row that can be chosen once up to ``taken`` rows are left out.
+
+        Of a system, at most its share of what is taken stands before a row that
+        is chosen. Of a pool, at most what is taken, and with a quota the rows
+        beyond it of systems that the pool draws on.
+        """
+        gone = sum(t.pool for t in taken)
+        if self.system is None:
+            return Room(None, self.pool + gone)
+        system = self.system + sum(t.pool if t.system is None else min(t.system, t.pool) for t in taken)
+        return Room(system, self.pool * system + gone)
+
+
+def entries(annotated: DataFrame, rooms: Mapping[str, Room], config: PoolConfig, *, everybody: bool = False) -> DataFrame:
+    """Ranked entries of pools: query_id, candidate_id, pool_name, system and the order's columns.
+
+    ``annotated`` is read once for all pools. Spark cuts both ranks before their
+    exchanges. With ``everybody`` nobody is ineligible.
     """
-    size, quota = config.sizes[pool], config.quotas[pool]
-    drawn = rows.withColumn("selection_score", F.round(F.coalesce(score, F.lit(0.0)), 9)).withColumn("__jitter", stable_fraction(config.seed + SEED_OFFSETS[pool], F.col("candidate_id")))
-    order = [F.col("selection_score").desc(), F.col("is_stable_or_known").desc(), F.col("element_overlap_count").desc(), F.col("__jitter"), F.col("candidate_id")]
-    if quota > 0:
-        system = F.coalesce(text_or_null(F.col("chemical_system")), F.lit("UNKNOWN"))
-        drawn = drawn.withColumn("__s", F.row_number().over(Window.partitionBy("query_id", system).orderBy(*order))).filter(F.col("__s") <= quota).drop("__s")
-    ranked = drawn.withColumn("rank_in_pool", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank_in_pool") <= size)
-    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in MISSING_CHECKED])), ";")
-    return ranked.drop("__jitter").withColumn("pool_name", F.lit(pool)).withColumn("missing_fields", missing)
+    able = eligibility(config)
+    offers = [F.when(F.lit(True) if everybody else able[n], F.struct(F.lit(n).alias("pool_name"), F.round(F.coalesce(scores()[n], F.lit(0.0)), 9).alias("selection_score"), F.col(f"__jitter{SEED_OFFSETS[n]}").alias("jitter"))) for n in rooms]
+    system = F.coalesce(text_or_null(F.col("chemical_system")), F.lit("UNKNOWN")).alias("system")
+    long = annotated.select("query_id", "candidate_id", system, "is_stable_or_known", "element_overlap_count", F.explode(F.array_compact(F.array(*offers))).alias("e"))
+    long = long.select("query_id", "candidate_id", "system", "is_stable_or_known", "element_overlap_count", "e.*")
+    return cut(long, rooms)
 
 
-def pool(annotated: DataFrame, name: str, config: PoolConfig = PoolConfig(), taken: DataFrame | None = None) -> DataFrame:
-    """One pool; ``taken`` (query_id, candidate_id) are left out.
+def cut(rows: DataFrame, rooms: Mapping[str, Room]) -> DataFrame:
+    """``rows`` within the rooms of their pools, with ``rank_in_pool``.
 
-    Where nobody is eligible as control, everybody is.
+    Going down the order and skipping full systems keeps exactly the rows whose
+    rank within their system is inside the quota; so two ranks do it.
     """
-    rows = annotated if taken is None else annotated.join(taken, ["query_id", "candidate_id"], "left_anti")
-    able = eligibility(config)[name]
-    if name == "negative_control":
-        served = rows.filter(able).select("query_id").distinct()
-        rows = rows.join(F.broadcast(served.withColumn("__any", F.lit(True))), "query_id", "left").filter(F.col("__any").isNull() | able).drop("__any")
-    else:
-        rows = rows.filter(able)
-    return select_ranked(rows, name, scores()[name], config)
+
+    def within(of: str) -> Column:
+        limit = F.lit(None).cast("long")
+        for name, room in rooms.items():
+            limit = F.when(F.col("pool_name") == name, F.lit(getattr(room, of)).cast("long")).otherwise(limit)
+        return limit
+
+    quotas = [r.system for r in rooms.values()]
+    if any(q is not None for q in quotas):
+        ranked = rows.withColumn("__s", F.row_number().over(Window.partitionBy("query_id", "pool_name", "system").orderBy(*_order())))
+        if all(q is not None for q in quotas):
+            ranked = ranked.filter(F.col("__s") <= max(quotas))
+        rows = ranked.filter(within("system").isNull() | (F.col("__s") <= within("system"))).drop("__s")
+    ranked = rows.withColumn("rank_in_pool", F.row_number().over(Window.partitionBy("query_id", "pool_name").orderBy(*_order())))
+    return ranked.filter(F.col("rank_in_pool") <= max(r.pool for r in rooms.values())).filter(F.col("rank_in_pool") <= within("pool"))
+
+
+def _with_jitter(universe: DataFrame, config: PoolConfig) -> DataFrame:
+    """``universe`` with the places of candidates of equal standing, one for each seed."""
+    return universe.withColumns({f"__jitter{o}": stable_fraction(config.seed + o, F.col("jid")) for o in sorted(set(SEED_OFFSETS.values()))})
 
 
 def all_pools(universe: DataFrame, queries: DataFrame, config: PoolConfig = PoolConfig()) -> DataFrame:
     """The five pools of all queries as one table.
 
     The first three may share candidates; wildcards leave out all of them, and
-    controls leave out the wildcards as well. Each group is written once, as the
-    next one depends on it.
+    controls leave out the wildcards as well. The pass over universe and queries
+    yields entries of all five, of the last two so many that enough remain
+    whatever is left out; it is written once. Where nobody is eligible as control,
+    everybody is; such queries, if there are any, meet the universe again.
     """
-    annotated = annotate(universe, queries, config)
-    first = cut_lineage(reduce(DataFrame.unionByName, [pool(annotated, n, config) for n in POOLS[:3]]))
-    ids = first.select("query_id", "candidate_id").distinct()
-    wild = cut_lineage(pool(annotated, "wildcard", config, ids))
-    control = pool(annotated, "negative_control", config, ids.unionByName(wild.select("query_id", "candidate_id")))
-    return first.unionByName(wild).unionByName(control)
+    jittered = _with_jitter(universe, config)
+    first, wild, control = POOLS[:3], POOLS[3], POOLS[4]
+    own = {n: Room.of(config, n) for n in POOLS}
+    taken = [own[n] for n in first]
+    rooms = {n: own[n] for n in first} | {wild: own[wild].besides(taken), control: own[control].besides([*taken, own[wild]])}
+    drawn = cut_lineage(entries(flags(_meet(jittered, queries, config)), rooms, config))
+    chosen = drawn.filter(F.col("pool_name").isin(list(first)))
+    ids = chosen.select("query_id", "candidate_id").distinct()
+
+    def left(rows: DataFrame, name: str, gone: DataFrame) -> DataFrame:
+        rest = rows.filter(F.col("pool_name") == name).drop("rank_in_pool").join(gone, ["query_id", "candidate_id"], "left_anti")
+        return cut(rest, {name: own[name]})
+
+    wilds = cut_lineage(left(drawn, wild, ids))
+    gone = ids.unionByName(wilds.select("query_id", "candidate_id"))
+    controls = cut_lineage(left(drawn, control, gone))
+    parts = [chosen, wilds, controls]
+    unserved = cut_lineage(queries.join(controls.select("query_id").distinct(), "query_id", "left_anti"))
+    if own[control].pool > 0 and not unserved.isEmpty():
+        again = entries(flags(_meet(jittered, unserved, config)), {control: rooms[control]}, config, everybody=True)
+        parts.append(left(again, control, gone))
+    picked = reduce(DataFrame.unionByName, parts).select("query_id", "candidate_id", "pool_name", "rank_in_pool", "selection_score")
+    full = flags(picked.join(candidates(universe, config), "candidate_id").join(queries, "query_id"))
+    missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in MISSING_CHECKED])), ";")
+    return full.withColumn("missing_fields", missing)
 
 
 def in_blocks(universe: DataFrame, queries: DataFrame, config: PoolConfig = PoolConfig()) -> DataFrame:
