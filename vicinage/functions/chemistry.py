@@ -29,8 +29,8 @@ def symbols_of_system(system: Column) -> Column:
 
 
 def formula_counts(formula: Column) -> Column:
-    """Map of element to count; charges at the end, blanks and underscores are dropped, brackets ignored."""
-    text = F.regexp_replace(F.regexp_replace(formula.cast("string"), r"[\s_]+", ""), r"(\^?\d*[+\-])$", "")
+    """Map of element to count; signs of charges at the end, blanks and underscores are dropped, brackets ignored."""
+    text = F.regexp_replace(F.regexp_replace(formula.cast("string"), r"[\s_]+", ""), r"\^?[+\-]+$", "")
     token = "([A-Z][a-z]?)([0-9]*[.]?[0-9]*)"
     entries = F.arrays_zip(F.regexp_extract_all(text, F.lit(token), F.lit(1)).alias("e"), F.regexp_extract_all(text, F.lit(token), F.lit(2)).alias("n"))
     amounts = F.transform(entries, lambda x: F.struct(x["e"].alias("e"), F.coalesce(F.nullif(x["n"], F.lit("")).try_cast("double"), F.lit(1.0)).alias("n")))
@@ -52,12 +52,12 @@ def _greatest_divisor(values: Column) -> Column:
 
 
 def with_ratio(df: DataFrame, counts: str, ratio: str) -> DataFrame:
-    """``df`` with ``ratio``: sorted counts divided by their common divisor; null unless all are positive integers.
+    """``df`` with ``ratio``: sorted counts divided by their common divisor; null unless all that are positive are integers; others don't count.
 
     Divisor and counts stand in columns of their own, so that each is made once.
     """
-    values = F.map_values(F.col(counts))
-    fits = F.forall(values, lambda v: (v > 0) & (F.abs(v - F.round(v)) < 1e-6)) & (F.size(values) > 0)
+    values = F.filter(F.map_values(F.col(counts)), lambda v: v > 0)
+    fits = F.forall(values, lambda v: (F.abs(v - F.round(v)) < 1e-6)) & (F.size(values) > 0)
     whole = F.when(fits, F.array_sort(F.transform(values, lambda v: F.round(v).cast("long"))))
     staged = df.withColumn("__whole", whole)
     staged = staged.withColumn("__divisor", _greatest_divisor(F.col("__whole")))

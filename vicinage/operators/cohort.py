@@ -212,7 +212,7 @@ def between_clusters(long: DataFrame, labels: DataFrame, *, margin: float = 0.10
     other = labels.select(F.col("id").alias("other"), F.col("cluster_id").alias("theirs"))
     means = long.join(own, "id").join(other, "other").groupBy("id", "own", "theirs").agg(F.avg("similarity").alias("mean"))
     folded = means.groupBy("id", "own").agg(
-        F.max(F.when(F.col("own") == F.col("theirs"), F.col("mean"))).alias("own_score"), F.max(F.when(F.col("own") != F.col("theirs"), F.struct(F.round("mean", 9).alias("m"), (-F.col("theirs")).alias("t")))).alias("best")
+        F.max(F.when(F.col("own") == F.col("theirs"), F.col("mean"))).alias("own_score"), F.max(F.when(F.col("own") != F.col("theirs"), F.struct(F.round("mean", 12).alias("m"), (-F.col("theirs")).alias("t")))).alias("best")
     )
     rows = own.join(folded, ["id", "own"], "left")
     told = rows.select("id", F.col("own").alias("cluster_id"), F.coalesce("own_score", F.lit(1.0)).alias("own_similarity"), F.coalesce(F.col("best.m"), F.lit(0.0)).alias("other_similarity"), F.coalesce(-F.col("best.t"), F.lit(0)).alias("other_cluster"))
@@ -275,3 +275,75 @@ def explain_pairs(pairs: DataFrame) -> DataFrame:
     lead = F.array_max(F.array(*[F.struct(F.round(c(f"{k}_share"), 9).alias("v"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(parts)]))["k"]
     text = F.format_string("%s and %s: combined similarity %.2f, led by %s; %s.", c("a"), c("b"), c("combined_similarity"), lead, F.replace(c("discordance_type"), F.lit("_"), F.lit(" ")))
     return shares.withColumns({"leading_part": lead, "explanation": text}).drop(*[f"__{k}" for k in parts])
+
+
+# fixed values: weights of the label fields of which the coverage decides how far a comparison can be explained
+COVERAGE_WEIGHTS = {"material_family": 0.20, "composition_family": 0.10, "prototype_family": 0.25, "formula_family": 0.25, "structure_variant": 0.15, "chemical_system": 0.05}
+# fixed values: fields whose diversity is compared, and the bands of confidence and of mean difference
+ENTROPY_FIELDS = ("prototype_family", "material_family", "formula_family", "spacegroup_number")
+CONFIDENCE_BANDS = ((0.80, "high"), (0.55, "moderate"))
+DIVERSITY_BANDS = ((0.03, "very_similar"), (0.12, "modest_differences"))
+
+
+def prepare_cohort(df: DataFrame, id_column: str, core: Sequence[str], *, confidence: str, completeness: str, least_confidence: float = 0.5, least_completeness: float = 0.5) -> DataFrame:
+    """``df`` with ``id``, ``missing_core`` (absent core measures), ``low_confidence`` and ``low_completeness``.
+
+    Blank ids are an error, and so are repeated ones; a null measure is not low.
+    """
+    named = df.withColumn("id", F.trim(F.col(id_column).cast("string"))).filter(F.col("id").isNotNull())
+    # a few ids for the message
+    bad = [r["id"] for r in named.groupBy("id").count().filter("count > 1 OR id = ''").limit(5).collect()]
+    if bad:
+        raise ValueError(f"ids must be given and different: {bad}")
+    absent = sum((F.when(F.col(c).isNull() | F.isnan(F.col(c).cast("double")), 1).otherwise(0) for c in core), F.lit(0))
+    below = lambda c, least: F.coalesce(F.col(c) < least, F.lit(False))
+    return named.withColumns({"missing_core": absent, "low_confidence": below(confidence, least_confidence), "low_completeness": below(completeness, least_completeness)})
+
+
+def eligible(prepared: DataFrame, known: DataFrame, reliability: Sequence[str], *, include_low: bool = False) -> DataFrame:
+    """One row per entity: what speaks against a comparison, its ``reliability`` (mean of
+    the clipped measures that are there, else 0) and whether it is ``eligible``.
+
+    ``known`` has the ``id`` of the entities whose neighbourhood is there.
+    """
+    marked = prepared.join(known.select("id", F.lit(True).alias("__known")), "id", "left")
+    measures = [F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c)), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))) for c in reliability]
+    has = F.coalesce("__known", F.lit(False))
+    low = F.col("low_confidence") | F.col("low_completeness")
+    return marked.select("id", "missing_core", "low_confidence", "low_completeness", has.alias("has_neighbours"), F.coalesce(mean_available(*measures), F.lit(0.0)).alias("reliability"), (has & (F.col("missing_core") == 0) & (F.lit(include_low) | ~low)).alias("eligible"))
+
+
+def profile_reading(pairs: DataFrame) -> DataFrame:
+    """How the profiles of a pair stand to its neighbourhoods: ``discordance`` and ``reading``."""
+    p, h = F.round("profile_similarity", 9), F.round("neighbourhood_similarity", 9)
+    gap = F.abs(p - h)
+    reading = F.when(p.isNull() | h.isNull(), "not_assessed").when(F.round(gap, 9) < 0.05, "profile_agrees_with_neighbourhood").when(p >= h, "profile_hides_differences").otherwise("profile_stresses_differences")
+    return pairs.select("a", "b", gap.alias("discordance"), reading.alias("reading"))
+
+
+def explainability(pairs: DataFrame, coverage: DataFrame, entropies: DataFrame, reliability: Column | None = None) -> DataFrame:
+    """How far pairs can be explained, and how their neighbourhoods differ in diversity.
+
+    ``coverage`` has ``classified_fraction`` per query and field, ``entropies``
+    ``entropy`` per query and field. ``confidence`` is the root of the pair's
+    reliability (1 if not given) times the mean coverage of the two, or the
+    reliability where a coverage is absent. Of equally wide differences the field
+    whose name is smaller counts.
+    """
+    weights = F.create_map(*[F.lit(x) for f, w in COVERAGE_WEIGHTS.items() for x in (f, w)])
+    weighted = coverage.withColumn("w", F.element_at(weights, F.col("field"))).groupBy("query_id").agg((F.sum(F.col("classified_fraction") * F.col("w")) / F.sum("w")).alias("coverage"))
+    both = pairs.join(weighted.select(F.col("query_id").alias("a"), F.col("coverage").alias("coverage_a")), "a", "left").join(weighted.select(F.col("query_id").alias("b"), F.col("coverage").alias("coverage_b")), "b", "left")
+    trust = F.lit(1.0) if reliability is None else reliability
+    held = F.sqrt(F.greatest(trust, F.lit(0.0)) * F.sqrt(F.greatest(F.col("coverage_a"), F.lit(0.0)) * F.greatest(F.col("coverage_b"), F.lit(0.0))))
+    confidence = F.coalesce(held, trust)
+    label = F.lit("low")
+    for least, name in reversed(CONFIDENCE_BANDS):
+        label = F.when(F.round(confidence, 9) >= least, name).otherwise(label)
+    label = F.when(F.col("coverage_a").isNull() | F.col("coverage_b").isNull(), "unavailable_coverage").otherwise(label)
+    one = entropies.select(F.col("query_id").alias("a"), "field", F.col("entropy").alias("x"))
+    two = entropies.select(F.col("query_id").alias("b"), "field", F.col("entropy").alias("y"))
+    gaps = pairs.join(one, "a").join(two, ["b", "field"]).withColumn("gap", F.abs(F.col("x") - F.col("y")))
+    folded = gaps.groupBy("a", "b").agg(F.avg("gap").alias("mean_entropy_difference"), F.min_by("field", F.struct(-F.round("gap", 9), F.col("field"))).alias("widest_field"))
+    mean = F.round("mean_entropy_difference", 9)
+    reading = F.when(mean < DIVERSITY_BANDS[0][0], DIVERSITY_BANDS[0][1]).when(mean < DIVERSITY_BANDS[1][0], DIVERSITY_BANDS[1][1]).otherwise("substantial_differences")
+    return both.withColumns({"confidence": confidence, "confidence_label": label}).join(folded, ["a", "b"], "left").withColumn("diversity_reading", F.when(mean.isNotNull(), reading)).select("a", "b", "coverage_a", "coverage_b", "confidence", "confidence_label", "mean_entropy_difference", "widest_field", "diversity_reading")

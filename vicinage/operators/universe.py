@@ -127,6 +127,63 @@ def remove(universe: DataFrame, ids: DataFrame, *, key: str = "jid") -> DataFram
     return universe.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def resolve(universe: DataFrame, ids: DataFrame, *, key: str = "jid", strict: bool = True) -> DataFrame:
+    """The records of the given ids; with ``strict`` an id without a record is an error that names some."""
+    wanted = ids.select(key).filter(F.col(key).isNotNull()).distinct()
+    if strict:
+        # a few names for the message
+        absent = [r[key] for r in wanted.join(universe.select(key), key, "left_anti").limit(5).collect()]
+        if absent:
+            raise KeyError(f"no record for {absent}")
+    return universe.join(wanted, key, "left_semi")
+
+
+def resolve_external(universe: DataFrame, ids: DataFrame, *, key: str = "jid", strict: bool = True) -> DataFrame:
+    """:func:`resolve` among the external records."""
+    return resolve(universe.filter(F.col("dataset_kind") == "external"), ids, key=key, strict=strict)
+
+
+PHYSICAL = ("formula", "formation_energy", "energy_above_hull", "known_synthesized", "dataset_kind", "material_type")
+PROFILE = ("formula", "material_type", "dataset_kind", "chemical_system", "composition_family", "n_elements", "elements", "formula_family", "prototype_family", "structure_variant", "material_family", "spacegroup_number", "spacegroup_symbol", "crystal_system_code", "formation_energy", "energy_above_hull", "known_synthesized", "band_gap", "density_feature", "metal_count", "nonmetal_count")
+
+
+def physical_properties(records: DataFrame, *, key: str = "jid") -> DataFrame:
+    """What plausibility is judged by; NaN is null."""
+    return records.select(key, *[_finite(records, c).alias(c) for c in PHYSICAL])
+
+
+def profile_rows(records: DataFrame, *, key: str = "jid") -> DataFrame:
+    """One flat profile row per record: identity, chemistry, symmetry, stability and features, and how many are there."""
+    fields = [c for c in PROFILE if c in records.columns]
+    present = sum((F.when(_finite(records, c).isNotNull(), 1).otherwise(0) for c in fields), F.lit(0))
+    return records.select(key, *[_finite(records, c).alias(c) for c in fields], (present / len(fields)).alias("completeness"))
+
+
+def standard_vector(df: DataFrame, stats: DataFrame, features: Sequence[str], *, key: str = "jid") -> DataFrame:
+    """``vector``: the features in order, in deviations from the mean; null where a value is missing."""
+    moments = stats.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std")))).alias("m"))
+    # one row with one entry per feature
+    rows = df.join(F.broadcast(moments))
+    parts = [(_finite(df, f).cast("double") - F.element_at("m", F.lit(f))["mean"]) / F.element_at("m", F.lit(f))["std"] for f in features]
+    return rows.select(key, F.array(*parts).alias("vector"))
+
+
+def _finite(df: DataFrame, name: str) -> Column:
+    column = df[name]
+    return F.when(~F.isnan(column) & (F.abs(column) < float("inf")), column) if dict(df.dtypes)[name] in ("double", "float") else column
+
+
+def sort_by_id(df: DataFrame, *, key: str = "jid") -> DataFrame:
+    """Rows in the order of the id as text, so that ``JVASP-10`` stands before ``JVASP-9``."""
+    return df.orderBy(F.col(key).cast("string"))
+
+
+def sort_by_present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows ordered by those of ``columns`` that exist; as they are if there is none."""
+    there = [c for c in columns if c in df.columns]
+    return df.orderBy(*there) if there else df
+
+
 def feature_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row per feature: mean and population deviation of finite values; a deviation of nearly 0 becomes 1. One pass."""
     fine = {f: F.when(F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(F.col(f)) < float("inf")), F.col(f).cast("double")) for f in features}

@@ -373,7 +373,8 @@ def _mean(*parts: str) -> str:
     return "list_avg(list_filter([" + ", ".join(f"({p})::DOUBLE" for p in parts) + "], lambda x: x IS NOT NULL))"
 
 
-def _metrics_sql() -> str:
+def metrics_ctes() -> tuple[str, str]:
+    """CTEs up to the parts of the metrics, and the SELECT that puts them together."""
     rates = ", ".join(f"avg(same_{c}::INT) AS same_{c}_rate" for c in R.FLAGS)
     wide = ", ".join(
         [f"max(entropy) FILTER (field = '{c}') AS {c}_entropy" for c in M.CATEGORIES] + [f"max(distinct_values) FILTER (field = '{c}') AS {c}_count" for c in M.CATEGORIES] + [f"max(dominant_value) FILTER (field = '{c}') AS {c}_dominant" for c in M.CATEGORIES]
@@ -389,8 +390,13 @@ w AS (SELECT query_id, pool_name, {wide} FROM en GROUP BY 1, 2)"""
     step2 = f"SELECT *, {_mean('same_prototype_family_rate', 'same_structure_variant_rate', 'symmetry_similarity_score')} AS structural_metadata_similarity_score FROM ({step1})"
     ent = lambda ns: _mean(*[f"{n}_entropy" for n in ns])
     step3 = f"SELECT *, {_mean('chemical_similarity_score', 'family_similarity_score', 'structural_metadata_similarity_score', 'stable_fraction')} AS query_similarity_score, {ent(('composition_family', 'material_family', 'formula_family', 'prototype_family', 'structure_variant', 'spacegroup_number', 'crystal_system_code'))} AS pool_diversity_score, {ent(('prototype_family', 'structure_variant', 'spacegroup_number', 'crystal_system_code'))} AS structural_regime_diversity_score FROM ({step2})"
+    return f"{with_pools()},\n{_entropy_ctes()},\n{base}", step3
+
+
+def _metrics_sql() -> str:
+    ctes, rows = metrics_ctes()
     skip = ["query_id", "pool_name", "n_candidates", "duplicate_candidate_count", *[f"{c}_count" for c in M.CATEGORIES], *[f"{c}_dominant" for c in M.CATEGORIES]]
-    return f"{with_pools()},\n{_entropy_ctes()},\n{base}\nSELECT {', '.join(skip)}, round(COLUMNS(* EXCLUDE ({', '.join(skip)})), 6) FROM ({step3})"
+    return f"{ctes}\nSELECT {', '.join(skip)}, round(COLUMNS(* EXCLUDE ({', '.join(skip)})), 6) FROM ({rows})"
 
 
 def _plausibility_ctes() -> str:
