@@ -17,6 +17,7 @@ from vicinage.functions.scores import mean_available, weighted_mean
 from vicinage.functions.similarity import count_similarity, jaccard, numeric_similarity, profile_similarity, same_label
 from vicinage.operators.components import connected_components
 from vicinage.operators.pool_metrics import value_counts
+from vicinage.operators.ranks import counted_below
 from vicinage.session import cut_lineage
 
 # fixed values: weights of pools and of distribution fields
@@ -185,7 +186,7 @@ def distinctiveness(long: DataFrame, k: int) -> DataFrame:
     per = per.withColumn("mean_distance", F.round("mean_distance", 9))
     # ranks over distinct values; how many lie below follows from counts of values, which are joined back
     values = per.groupBy("mean_distance").agg(F.count(F.lit(1)).alias("ties"))
-    below = values.withColumn("below", F.coalesce(F.sum("ties").over(Window.orderBy("mean_distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = counted_below(values, "mean_distance", "ties")
     total = per.agg(F.count(F.lit(1)).alias("total"))
     return per.join(below, "mean_distance").join(F.broadcast(total)).select("id", "nearest_distance", "mean_distance", ((F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")).alias("percentile_rank"))
 
@@ -198,7 +199,9 @@ def redundancy(pairs: DataFrame, *, combined: float = 0.90, component: float = 0
     close = pairs.filter((F.col("combined_similarity") >= combined) & (F.col("profile_similarity") >= component) & (F.col("neighbourhood_similarity") >= component))
     members = connected_components(close, left="a", right="b")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("group_size"))
-    numbered = sizes.withColumn("group_id", F.row_number().over(Window.orderBy(F.desc("group_size"), "component")))
+    # in one order of size and id; (-size, component) is that of the range
+    placed = counted_below(sizes.select(F.struct((-F.col("group_size")).alias("s"), F.col("component")).alias("place"), F.lit(1).alias("one"), "component", "group_size"), "place", "one")
+    numbered = placed.select("component", "group_size", (F.col("below") + 1).cast("int").alias("group_id"))
     return members.join(numbered, "component").select(F.col("node").alias("id"), "group_id", "group_size")
 
 
@@ -250,15 +253,15 @@ def effective_clusters(labels: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks of ties, over rows that have both values.
 
-    Ranks come from counts of distinct values, so no row is moved to one task;
+    Ranks come from counts of distinct values, which are added up in ranges, so
+    no task holds all of them;
     null for constant input.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
 
     def ranked(rows: DataFrame, c: str) -> DataFrame:
         counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return rows.join(counts.select(c, (before + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
+        return rows.join(counted_below(counts, c, "n").select(c, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{c}")), c)
 
     both = ranked(ranked(rows, "x"), "y")
     moments = both.agg(F.covar_pop("rx", "ry").alias("c"), F.stddev_pop("rx").alias("sx"), F.stddev_pop("ry").alias("sy"), F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinage.functions import chemistry as C
+from vicinage.operators.ranks import medians
 from vicinage.functions.scalars import first_flag, first_number, stable_fraction, support_flag, text_or_null
 
 # fixed values: feature groups, and names under which optional physical fields may arrive
@@ -199,8 +200,10 @@ def feature_matrix(df: DataFrame, features: Sequence[str], *, key: str = "jid")
     The medians are exact; means and population deviations are of the imputed values.
     """
     fine = {f: F.when(~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f)) < float("inf")), F.col(f).cast("double")) for f in features}
-    medians = df.agg(*[F.coalesce(F.median(fine[f]), F.lit(0.0)).alias(f"__med_{f}") for f in features])
-    filled = df.join(F.broadcast(medians)).select(key, *[F.coalesce(fine[f], F.col(f"__med_{f}")).alias(f) for f in features])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), fine[f].alias("value")) for f in features])).alias("x")).select("x.feature", "x.value")
+    found = medians(long, "feature", "value").groupBy().agg(*[F.coalesce(F.max(F.when(F.col("feature") == f, F.col("median"))), F.lit(0.0)).alias(f"__med_{f}") for f in features])
+    # one row of medians
+    filled = df.join(F.broadcast(found)).select(key, *[F.coalesce(fine[f], F.col(f"__med_{f}")).alias(f) for f in features])
     moments = filled.agg(*[x for f in features for x in (F.avg(f).alias(f"__m_{f}"), F.stddev_pop(f).alias(f"__s_{f}"))])
     return filled.join(F.broadcast(moments)).select(key, *[((F.col(f) - F.col(f"__m_{f}")) / F.when(F.col(f"__s_{f}") > 1e-12, F.col(f"__s_{f}")).otherwise(1.0)).alias(f) for f in features])
 

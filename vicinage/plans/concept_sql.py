@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vicinage.functions.scores import GENERIC_LABELS, STRENGTH_STEPS
+from vicinage.operators import cohort as H
 from vicinage.operators.retrieval import POOLS
 from vicinage.operators.roles import LEAKAGE
 from vicinage.plans import retrieval_queries as P
@@ -133,9 +134,15 @@ def concepts_sql() -> str:
 
 
 def roles_sql() -> str:
+    ctes, rows = _roles()
+    return f"{ctes}\n{rows}"
+
+
+def _roles(more: tuple[str, ...] = ()) -> tuple[str, str]:
+    """CTEs up to the parts of the scores, and the SELECT of the scores; ``wide`` also holds the metrics ``more``."""
     names = ["n_candidates", "chemical_system_count", "mean_element_overlap_fraction", "mean_symmetry_distance", "stable_fraction", "known_synthesized_rate", "spacegroup_number_entropy", "crystal_system_code_entropy"]
     names += [f"same_{x}_rate" for x in (*RATES, "spacegroup", "crystal_system")] + [f"{x}_entropy" for x in RATES]
-    names += [m for m in LEAKAGE if m not in names]
+    names += [m for m in (*LEAKAGE, *more) if m not in names]
     g = lambda k, m: f"coalesce({k}_{m}, 0.0)"
     most = lambda *v: f"greatest({', '.join(v)})"
     share = lambda v, n: _zero(f"({v}) / {n}")
@@ -238,6 +245,51 @@ def roles_sql() -> str:
         ctes.append(f"n{i + 1} AS MATERIALIZED (SELECT *, {', '.join(f'({v}) AS {k}' for k, v in level.items())} FROM n{i})")
     out = ", ".join(f"{r}_score::DOUBLE AS {r}_score, {r}_con::INT AS {r}_contradictions, {r}_confidence::DOUBLE AS {r}_confidence, {r}_plausibility" for r in parts)
     return (
-        ",\n".join(ctes)
-        + f"\nSELECT query_id, {out}, hub_band, boundary_band, round(suff, 6)::DOUBLE AS sufficiency, round(anchor, 6)::DOUBLE AS anchor, status, gen AS generic_overclaim_risk, primary_role, (CASE primary_role WHEN 'hub' THEN hub_score WHEN 'boundary' THEN boundary_score END)::DOUBLE AS primary_score, gap < 0.08 AS ambiguous, context_ambiguity::DOUBLE AS context_ambiguity, pool_independence::DOUBLE AS pool_independence, retrieval_completeness::DOUBLE AS retrieval_completeness, profile_confidence::DOUBLE AS profile_confidence, {pattern} AS contextual_pattern FROM n{len(levels)}"
+        ",\n".join(ctes),
+        f"SELECT query_id, {out}, hub_band, boundary_band, round(suff, 6)::DOUBLE AS sufficiency, round(anchor, 6)::DOUBLE AS anchor, status, gen AS generic_overclaim_risk, primary_role, (CASE primary_role WHEN 'hub' THEN hub_score WHEN 'boundary' THEN boundary_score END)::DOUBLE AS primary_score, gap < 0.08 AS ambiguous, context_ambiguity::DOUBLE AS context_ambiguity, pool_independence::DOUBLE AS pool_independence, retrieval_completeness::DOUBLE AS retrieval_completeness, profile_confidence::DOUBLE AS profile_confidence, {pattern} AS contextual_pattern FROM n{len(levels)}",
     )
+
+
+def _weighted(parts: list[tuple[str, float]]) -> str:
+    total = " + ".join(f"coalesce(({v}) * {w}, 0)" for v, w in parts)
+    weight = " + ".join(f"CASE WHEN ({v}) IS NULL THEN 0 ELSE {w} END" for v, w in parts)
+    return f"({total}) / nullif({weight}, 0)"
+
+
+def combined_sql(identity: str, distribution: str, then: str | None = None) -> str:
+    """SQL of the comparison of all pairs, or of what ``then`` selects from the pairs
+    (``c4``), their long form with gaps filled (``l``: id, other, s) and the five
+    nearest others (``k``: with neighbour_rank); ``identity`` and ``distribution`` are CTEs that
+    end in ``idn`` and ``dsn`` (a, b and the similarity, not rounded)."""
+    ctes, rows = _roles((*H.MATCH_RATES, *H.CONTEXT_RATES))
+    like = lambda x, y: f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN NULL WHEN {x} IS NULL OR {y} IS NULL THEN 0.0 ELSE 1 - abs({_clip(x)} - {_clip(y)}) END"
+    count = lambda x, y: f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN NULL WHEN {x} IS NULL OR {y} IS NULL THEN 0.0 WHEN greatest({x}, {y}) > 0 THEN least({x}, {y}) / greatest({x}, {y}) ELSE 1.0 END"
+    pools = [(SHORT[p], w) for p, w in H.POOL_WEIGHTS.items()]
+    context = {k: P._mean(*[like(f"wa.{k}_{m}", f"wb.{k}_{m}") for m in (*H.MATCH_RATES, *H.CONTEXT_RATES)], count(f"wa.{k}_n_candidates", f"wb.{k}_n_candidates")) for k, _ in pools}
+    label = lambda n: f"CASE WHEN nullif(trim(qa.{n}::VARCHAR), '') IS NULL AND nullif(trim(qb.{n}::VARCHAR), '') IS NULL THEN NULL WHEN lower(trim(qa.{n}::VARCHAR)) = lower(trim(qb.{n}::VARCHAR)) THEN 1.0 ELSE 0.0 END"
+    shared = "len(list_intersect(qa.q_elements, qb.q_elements)) / nullif(len(list_distinct(qa.q_elements || qb.q_elements)), 0)"
+    chemistry = _weighted([(shared, 0.4), *[(label(n), w) for n, w in (("q_composition_family", 0.1), ("q_formula_family", 0.2), ("q_prototype_family", 0.1), ("q_structure_variant", 0.1), ("q_crystal_system_code", 0.1))]])
+    measures = ("hub_score", "boundary_score", "sufficiency", "profile_confidence")
+    gap = " + ".join(f"(ra.{m} - rb.{m}) ** 2" for m in measures)
+    parts = {"profile": ("profile_similarity", H.PROFILE), "identity": ("identity_similarity", (1 - H.PROFILE) * H.IDENTITY), "distribution": ("distribution_similarity", (1 - H.PROFILE) * H.DISTRIBUTION), "context": ("context_feature_similarity", (1 - H.PROFILE) * H.CONTEXT)}
+    all_parts = " + ".join(f"coalesce({c} * {w}, 0)" for c, w in parts.values())
+    lead = "list_max([" + ", ".join(f"{{'v': round({k}_share, 9), 'o': {-i}, 'k': '{k}'}}" for i, k in enumerate(parts)) + "]).k"
+    rounded = ["profile_similarity", "chemistry_similarity", "pair_reliability", "all_reference_jaccard", "identity_similarity", "distribution_similarity", "context_feature_similarity", "neighbourhood_similarity", "combined_similarity", "discordance", *[f"{k}_share" for k in parts]]
+    shown = f"SELECT a, b, {', '.join(f'round({c}::DOUBLE, 6) AS {c}' for c in rounded)}, discordance_type, leading_part, printf('%s and %s: combined similarity %.2f, led by %s; %s.', a, b, combined_similarity::DOUBLE, leading_part, replace(discordance_type, '_', ' ')) AS explanation FROM c4"
+    return f"""{ctes},
+rs AS MATERIALIZED ({rows}),
+{identity},
+{distribution},
+cx AS MATERIALIZED (SELECT wa.query_id AS a, wb.query_id AS b, {', '.join(f'{v} AS c_{k}' for k, v in context.items())} FROM wide wa JOIN wide wb ON wa.query_id < wb.query_id),
+cb AS MATERIALIZED (SELECT ra.query_id AS a, rb.query_id AS b, greatest(0.0, 1 - sqrt(({gap}) / {len(measures)})) AS profile_similarity, {chemistry} AS chemistry_similarity, sqrt(ra.profile_confidence * rb.profile_confidence) AS pair_reliability
+  FROM rs ra JOIN rs rb ON ra.query_id < rb.query_id JOIN q qa ON qa.query_id = ra.query_id JOIN q qb ON qb.query_id = rb.query_id),
+c1 AS (SELECT cb.*, all_reference_jaccard, identity_similarity, distribution_similarity, {_weighted([(f'c_{k}', w) for k, w in pools])} AS context_feature_similarity FROM cb LEFT JOIN idn USING (a, b) LEFT JOIN dsn USING (a, b) LEFT JOIN cx USING (a, b)),
+c2 AS (SELECT *, {_weighted([('identity_similarity', H.IDENTITY), ('distribution_similarity', H.DISTRIBUTION), ('context_feature_similarity', H.CONTEXT)])} AS neighbourhood_similarity FROM c1),
+c3 AS (SELECT *, {_weighted([('profile_similarity', H.PROFILE), ('neighbourhood_similarity', 1 - H.PROFILE)])} AS combined_similarity, abs(profile_similarity - neighbourhood_similarity) AS discordance,
+  CASE WHEN profile_similarity IS NULL OR neighbourhood_similarity IS NULL THEN 'insufficient_components' WHEN profile_similarity >= 0.9 AND neighbourhood_similarity <= 0.5 THEN 'similar_profile_different_reference_neighbourhood' WHEN profile_similarity <= 0.65 AND neighbourhood_similarity >= 0.85 THEN 'different_profile_similar_reference_neighbourhood'
+   WHEN profile_similarity > neighbourhood_similarity THEN 'profile_similarity_exceeds_neighbourhood_similarity' WHEN neighbourhood_similarity > profile_similarity THEN 'neighbourhood_similarity_exceeds_profile_similarity' ELSE 'aligned' END AS discordance_type, {', '.join(f'coalesce({c} * {w}, 0) / nullif({all_parts}, 0) AS {k}_share' for k, (c, w) in parts.items())} FROM c2),
+c4 AS MATERIALIZED (SELECT *, {lead} AS leading_part FROM c3),
+l0 AS (SELECT a AS id, b AS other, combined_similarity::DOUBLE AS s FROM c4 UNION ALL SELECT b, a, combined_similarity::DOUBLE FROM c4),
+l AS MATERIALIZED (SELECT id, other, least(greatest(coalesce(s, (SELECT median(s) FROM (SELECT s FROM l0 UNION ALL SELECT 1.0 FROM (SELECT DISTINCT id FROM l0)) WHERE s IS NOT NULL)), 0.0), 1.0) AS s FROM l0),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other)::INT AS neighbour_rank FROM l QUALIFY neighbour_rank <= 5)
+{then or shown}"""

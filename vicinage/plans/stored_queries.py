@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vicinage.functions import scores as Z
 from vicinage.functions import similarity as X
 from vicinage.operators import cohort as H
+from vicinage.operators import plausibility as A
 from vicinage.operators import pool_metrics as M
 from vicinage.operators import reachability as Y
 from vicinage.operators import roles as Q
@@ -18,6 +19,7 @@ from vicinage.plans import retrieval_queries as P
 from vicinage.plans.views import session_view
 from vicinage.session import cut_lineage
 from vicinage.sources import read_table
+from vicinage.streaming.queries import event_rates
 
 NEIGHBOURS = "nearest_contextual_neighbours_1c2"
 CASES = "structural_context_batch_summary"
@@ -203,6 +205,28 @@ def q_pair_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P._rounded(H.explainability(pairs, coverage, M.entropies(counts)))
 
 
+#: overlapping strata of a run: name, condition and size
+STRATA = (("all", "true", 300), ("oxides", "composition_family = 'oxide'", 150), ("external", "dataset_kind = 'external'", 40), ("stable", "energy_above_hull <= 0.05", 200))
+SAMPLE_SEED = 87
+
+
+def q_sample_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seeded sample of every stratum of the universe; a sampling operator, so the sizes are its feature."""
+    drawn = U.sample_strata(P.universe(spark, sf_dir), [(name, F.expr(where), n) for name, where, n in STRATA], seed=SAMPLE_SEED)
+    return drawn.select("jid", "composition_family", "dataset_kind")
+
+
+def q_event_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and sums of events by hour and kind; the same plan serves streams."""
+    return P._rounded(event_rates(read_table(spark, sf_dir, "events")))
+
+
+def q_plausible_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of stored pairs by plausibility."""
+    pairs = A.annotate_pairs(P._neighbour_pairs(spark, sf_dir), P._annotated(spark, sf_dir), a="candidate_id", b="neighbour_id")
+    return pairs.groupBy("pair_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # stored pairs of materials and controls: the queries of the same names without "stored_" have SQL without the controls
 def q_stored_element_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.q_element_jaccard(spark, sf_dir)
@@ -377,4 +401,31 @@ dd AS (SELECT a, b, avg(d) AS mean_d, arg_min(field, {{'a': -round(d, 9), 'b': f
 SELECT a, b, round(ca, 6) AS coverage_a, round(cb, 6) AS coverage_b, round(sqrt(sqrt(ca * cb)), 6) AS confidence, CASE WHEN round(sqrt(sqrt(ca * cb)), 9) >= 0.8 THEN 'high' WHEN round(sqrt(sqrt(ca * cb)), 9) >= 0.55 THEN 'moderate' ELSE 'low' END AS confidence_label, round(mean_d, 6) AS mean_entropy_difference, widest AS widest_field,
   CASE WHEN round(mean_d, 9) < 0.03 THEN 'very_similar' WHEN round(mean_d, 9) < 0.12 THEN 'modest_differences' ELSE 'substantial_differences' END AS diversity_reading FROM pr LEFT JOIN dd USING (a, b)"""
     out |= {"named_concepts": concept_sql.concepts_sql(), "bridge_diagnostics": concept_sql.bridge_sql(), "role_scores": concept_sql.roles_sql()}
+    out["combined_similarity"] = _combined_sql()
+    out["knn"] = _combined_sql("SELECT id, other, round(s, 6) AS similarity, neighbour_rank FROM k")
+    out["distinctiveness"] = _combined_sql(
+        ", d AS (SELECT id, min(1 - s) AS near, round(avg(1 - s), 9) AS mean FROM k GROUP BY 1) SELECT id, round(near, 6) AS nearest_distance, round(mean, 6) AS mean_distance, round((rank() OVER (ORDER BY mean) - 1 + (count(*) OVER (PARTITION BY mean) + 1) / 2) / count(*) OVER (), 6) AS percentile_rank FROM d"
+    )
+    edge = "combined_similarity >= 0.9 AND profile_similarity >= 0.8 AND neighbourhood_similarity >= 0.8"
+    out["redundancy"] = _combined_sql(
+        f", e AS MATERIALIZED (SELECT a AS u, b AS v FROM c4 WHERE {edge} UNION SELECT b, a FROM c4 WHERE {edge}), r AS (SELECT u, u AS v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), g AS (SELECT u AS id, min(v) AS root FROM r GROUP BY 1), "
+        "z AS (SELECT root, count(*) AS group_size, row_number() OVER (ORDER BY count(*) DESC, root)::INT AS group_id FROM g GROUP BY 1) SELECT id, group_id, group_size FROM g JOIN z USING (root)"
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+    # the strata overlap, and each draws by a hash of its own
+    draws = " UNION ".join(f"(SELECT jid FROM u WHERE {where} ORDER BY ('0x' || sha256('{SAMPLE_SEED}:{name}:' || jid)[1:12])::BIGINT, jid LIMIT {n})" for name, where, n in STRATA)
+    out["sample_regimes"] = f"{uni} SELECT jid, composition_family, dataset_kind FROM u WHERE jid IN (SELECT jid FROM ({draws}))"
+    out["event_rates"] = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"
+    out["plausible_pairs"] = f"{uni}, {P._plausibility_ctes()} SELECT pair_label, count(*) AS n FROM pp GROUP BY 1"
     return out
+
+
+def _combined_sql(then: str | None = None) -> str:
+    head = len(P.with_pools())
+    identity = K._identity_sql()[head:].lstrip(", \n").replace("round(j, 6) AS", "j AS").replace("round(CASE WHEN pool_score", "(CASE WHEN pool_score").replace("END, 6) AS identity_similarity", "END) AS identity_similarity")
+    at = identity.rindex("SELECT a, b, j AS")
+    identity = identity[:at].rstrip() + f",\nidn AS MATERIALIZED ({identity[at:]})"
+    distribution = K._distribution_sql()[head:].lstrip(", \n").replace("round(sum(s * pw) / sum(pw), 6)", "sum(s * pw) / sum(pw)")
+    distribution = distribution.replace(" ids AS (SELECT DISTINCT query_id FROM p),", "").replace("pr AS (SELECT x.query_id AS a, y.query_id AS b FROM ids x JOIN ids y ON x.query_id < y.query_id),\n", "")
+    at = distribution.rindex("SELECT pr.a, pr.b")
+    distribution = distribution[:at].rstrip() + f",\ndsn AS MATERIALIZED ({distribution[at:]})"
+    return concept_sql.combined_sql(identity, distribution, then)
