@@ -6,8 +6,7 @@ of the rows of a cell. Expectation maximisation runs on these summaries, whose
 number is bounded by ``max_cells`` however many rows there are; the rows of a cell
 share their membership, and both steps use the exact sums, so that every row
 counts and what is maximised is a lower bound of the rows' own likelihood, which
-no width of cells can raise above it. Assignment is a column expression over all
-rows.
+no width of cells can raise above it. Assignment scores all rows in batches.
 
 Scales are robust (by quartiles), so that a few far rows neither flatten the rest
 nor fill its cells; cells are laid where rows are, as fine as their number allows.
@@ -46,31 +45,19 @@ class Mixture:
     def size(self) -> int:
         return len(self.weights)
 
-    def reduced(self) -> list[Column]:
-        """The reduced features as columns."""
-        standard = _standard(self.features, self.mean, self.scale)
-        return [_linear(standard, axis) for axis in self.axes]
-
     @property
     def settled(self) -> bool:
         """Whether the criterion was seen to rise again beyond the chosen number."""
         return max(self.criterion) > self.size
 
-    def scores(self, reduced: Sequence[Column]) -> Column:
-        """Array of (log joint density, component number)."""
-        r = len(reduced)
-        rows = F.array(*[F.lit(w) for w in _quadratic(self.weights, self.centres, self.precisions, self.log_norms).tolist()])
-
-        def density(w: Column) -> Column:
-            total = w[0]
-            for i in range(r):
-                total = total + w[1 + i] * reduced[i]
-                for j in range(r):
-                    total = total + w[1 + r + i * r + j] * reduced[i] * reduced[j]
-            return total
-
-        # a table of coefficients, so that the plan doesn't grow with the components
-        return F.transform(rows, lambda w, k: F.struct(density(w).alias("density"), k.alias("k")))
+    def assign(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Component (from 0) of the highest joint density of every row of features, and its logarithm."""
+        z = np.clip((values - self.mean) / self.scale, -FAR, FAR) @ self.axes.T
+        terms = np.concatenate([np.ones((len(z), 1)), z, (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)], 1)
+        joint = terms @ _quadratic(self.weights, self.centres, self.precisions, self.log_norms).T
+        best = joint.argmax(1)
+        # rounded, so that equal rows are equal whatever stands beside them
+        return best, joint[np.arange(len(z)), best].round(9)
 
 
 def _quadratic(weights, centres, precisions, log_norms):
@@ -288,11 +275,25 @@ def usable_points(df: DataFrame, item: str, features: Sequence[str], lowest: flo
 
 
 def divide(points: DataFrame, mixture: Mixture) -> DataFrame:
-    """``points`` with ``cluster_id`` (most probable component, from 1) and ``log_density``."""
-    scored = points.withColumn("__z", F.struct(*[z.alias(f"z{i}") for i, z in enumerate(mixture.reduced())]))
-    scores = mixture.scores([F.col(f"__z.z{i}") for i in range(len(mixture.axes))])
-    best = scored.withColumn("__best", F.array_max(scores))
-    return best.withColumn("cluster_id", (F.col("__best.k") + 1).cast("int")).withColumn("log_density", F.col("__best.density")).drop("__z", "__best")
+    """``points`` with ``cluster_id`` (most probable component, from 1) and ``log_density``.
+
+    Rows are scored in batches against all components; the coefficients of at most
+    a thousand components go along with the tasks.
+    """
+    features = list(mixture.features)
+    # bounds the memory of a batch
+    block = max(1, 4_000_000 // mixture.size)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), block):
+                part = frame.iloc[at : at + block].copy()
+                best, density = mixture.assign(part[features].to_numpy(float))
+                part["cluster_id"], part["log_density"] = (best + 1).astype("int32"), density
+                yield part
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in points.dtypes)
+    return points.mapInPandas(run, f"{kinds}, cluster_id int, log_density double")
 
 
 def _empty_division(points: DataFrame) -> DataFrame:
@@ -308,7 +309,8 @@ def mixture_clusters(df: DataFrame, *, item: str, features: Sequence[str], lowes
     """
     points = cut_lineage(usable_points(df, item, features, lowest, highest))
     mixture = fit_mixture(points, [f"f{i}" for i in range(len(features))], **options)
-    return (points.transform(_empty_division) if mixture is None else divide(points, mixture)), mixture
+    # written once, as every use of the clusters reads all rows
+    return (points.transform(_empty_division) if mixture is None else cut_lineage(divide(points, mixture))), mixture
 
 
 def describe_clusters(assigned: DataFrame, *, typical: int = 3) -> DataFrame:
