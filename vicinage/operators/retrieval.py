@@ -244,7 +244,9 @@ def all_pools(universe: DataFrame, queries: DataFrame, config: PoolConfig = Pool
     if own[control].pool > 0 and not unserved.isEmpty():
         again = entries(flags(_meet(jittered, unserved, config)), {control: rooms[control]}, config, everybody=True)
         parts.append(left(again, control, gone))
-    picked = reduce(DataFrame.unionByName, parts).select("query_id", "candidate_id", "pool_name", "rank_in_pool", "selection_score")
+    names = ["query_id", "candidate_id", "pool_name", "rank_in_pool", "selection_score"]
+    # columns of their own, as a stream's batch can't be told apart from what was made of it
+    picked = reduce(DataFrame.unionByName, parts).select(*[F.col(c).alias(c) for c in names])
     full = flags(picked.join(candidates(universe, config), "candidate_id").join(queries, "query_id"))
     missing = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in MISSING_CHECKED])), ";")
     return full.withColumn("missing_fields", missing)
