@@ -2,9 +2,11 @@
 
 import collections
 import random
+import warnings
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vicinage.llm.mixture_clusters import describe_clusters, fit_mixture, linked_groups, mixture_clusters
 from vicinage.llm.top_n import top_n_per_group
@@ -133,6 +135,25 @@ def test_a_bound_that_is_hit_is_told(spark):
         assert not fit_mixture(df, ("x", "y"), components=(4, 8)).settled
 
 
+def test_more_than_a_thousand_components(spark):
+    blob, side = F.col("id") % 1331, 11
+    jitter = [(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1e6) for i in range(3)]
+    axes = [blob % side, F.floor(blob / side) % side, F.floor(blob / side**2)]
+    df = spark.range(1331 * 60).select(*[(a / 10.0 + j).alias(n) for n, a, j in zip("abc", axes, jitter)])
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixture = fit_mixture(df, ("a", "b", "c"), starts=1)
+    assert 1024 < mixture.size == min(mixture.criterion, key=mixture.criterion.get)
+
+
+def test_links_of_clusters_of_great_numbers(spark):
+    # one group whose items stand in two clusters, and another
+    rows = [(f"a{i}", 0.1 + i * 1e-4, 0.2, 200_000 + 4096 * (i % 2)) for i in range(9)] + [(f"b{i}", 0.5, 0.5, 4096) for i in range(3)] + [("c", 0.9, 0.9, 0), ("d", 0.9, 0.9, 4096)]
+    assigned = spark.createDataFrame(rows, "item string, f0 double, f1 double, cluster_id int")
+    got = {(r["item"], r["group_key"], r["group_size"]) for r in linked_groups(assigned, tolerance=0.0004).collect()}
+    assert got == {(f"a{i}", "a0", 9) for i in range(9)} | {(f"b{i}", "b0", 3) for i in range(3)} | {("c", "c", 2), ("d", "c", 2)}
+
+
 def test_top_n_against_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice("abc"), f"i{rng.randrange(40)}", rng.choice([None, float("nan"), -1.0, 2.0, 0.5, 0.5, round(rng.random(), 2)])) for _ in range(3000)]

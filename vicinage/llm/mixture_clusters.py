@@ -4,9 +4,9 @@ All rows are standardised and reduced by principal components, and then
 summarised once by cells of the reduced space: number, sum and sum of products
 of the rows of a cell. Expectation maximisation runs on these summaries, whose
 number is bounded by ``max_cells`` however many rows there are; the rows of a cell
-share their membership, and both steps use the exact sums, so that every row
-counts and what is maximised is a lower bound of the rows' own likelihood, which
-no width of cells can raise above it. Assignment scores all rows in batches.
+share their membership among the components that are densest there, and both steps
+use the exact sums, so that every row counts and what is maximised is a lower bound
+of the rows' own likelihood, which no width of cells can raise above it. Assignment scores all rows in batches.
 
 Scales are robust (by quartiles), so that a few far rows neither flatten the rest
 nor fill its cells; cells are laid where rows are, as fine as their number allows.
@@ -81,6 +81,8 @@ def _linear(columns: Sequence[Column], weights: Sequence[float]) -> Column:
 
 #: widths of cells that are tried, in deviations; the finest whose cells fit is taken
 WIDTHS = tuple(2.0**-k for k in range(-3, 11))
+#: components that may share a cell: those of highest joint density; looked for anew in these rounds, and when EM has settled
+SHARERS, RENEWED = 32, frozenset({0, 1, 2, 4, 8, 16, 32, 64})
 #: values further from the middle than so many robust deviations count as if there
 FAR = 1e4
 
@@ -150,6 +152,40 @@ def _normal(covariances):
     return np.linalg.inv(covariances), -0.5 * (covariances.shape[1] * np.log(2 * np.pi) + np.linalg.slogdet(covariances)[1])
 
 
+def _sharers(terms, coefficients):
+    """The ``SHARERS`` components of highest joint density of every cell."""
+    block = max(1, 2_000_000 // len(coefficients))
+    parts = [np.argpartition(terms[at : at + block] @ coefficients.T, -SHARERS, axis=1)[:, -SHARERS:].astype(np.int32) for at in range(0, len(terms), block)]
+    return np.concatenate(parts)
+
+
+def _expect(n, terms, moments, coefficients, sharers):
+    """Log likelihood, and moments of every component; of all components, or of the ``sharers`` of every cell.
+
+    Components that don't share a cell count as zero there, which leaves the
+    likelihood a lower bound.
+    """
+    k, width = coefficients.shape
+    # blocks bound the memory, whatever the numbers of cells and components
+    block = max(1, 2_000_000 // (k if sharers is None else SHARERS * width))
+    likelihood, sums = 0.0, np.zeros((k, width))
+    for at in range(0, len(n), block):
+        part = slice(at, at + block)
+        joint = terms[part] @ coefficients.T if sharers is None else np.einsum("nsm,nm->ns", coefficients[sharers[part]], terms[part])
+        top = joint.max(1, keepdims=True)
+        share = np.exp(joint - top)
+        norm = share.sum(1, keepdims=True)
+        likelihood += float((n[part] * (top + np.log(norm))[:, 0]).sum())
+        share /= norm
+        if sharers is None:
+            sums += share.T @ moments[part]
+        else:
+            whose = sharers[part].ravel()
+            for m in range(width):
+                sums[:, m] += np.bincount(whose, (share * moments[part, m, None]).ravel(), k)
+    return likelihood, sums
+
+
 def _fit(n, first, second, k, ridge, rounds, seed):
     """EM with ``k`` components on cell summaries; (log likelihood, parameters)."""
     d, total = first.shape[1], n.sum()
@@ -168,32 +204,32 @@ def _fit(n, first, second, k, ridge, rounds, seed):
     moments = np.concatenate([n[:, None], first, second.reshape(len(n), -1)], 1)
     # means over the rows of a cell of 1, z and z z': log densities are averaged exactly
     terms = moments / n[:, None]
-    # blocks bound the memory, whatever the numbers of cells and components
-    block = max(1, 2_000_000 // k)
-    before, likelihood = -np.inf, -np.inf
-    for _ in range(rounds):
-        coefficients = _quadratic(weights, centres, *_normal(covariances)).T
-        likelihood, sums = 0.0, np.zeros((k, moments.shape[1]))
-        for at in range(0, len(n), block):
-            joint = terms[at : at + block] @ coefficients
-            top = joint.max(1, keepdims=True)
-            share = np.exp(joint - top)
-            norm = share.sum(1, keepdims=True)
-            likelihood += float((n[at : at + block] * (top + np.log(norm))[:, 0]).sum())
-            sums += (share / norm).T @ moments[at : at + block]
+    before, likelihood, sharers, renew = -np.inf, -np.inf, None, True
+    for step in range(rounds):
+        coefficients = _quadratic(weights, centres, *_normal(covariances))
+        renewed = k > SHARERS and (renew or step in RENEWED)
+        if renewed:
+            sharers = _sharers(terms, coefficients)
+        likelihood, sums = _expect(n, terms, moments, coefficients, sharers)
         mass = sums[:, 0] + 1e-9
         centres = sums[:, 1 : 1 + d] / mass[:, None]
         covariances = sums[:, 1 + d :].reshape(k, d, d) / mass[:, None, None] - np.einsum("ki,kj->kij", centres, centres)
         covariances = (covariances + covariances.transpose(0, 2, 1)) / 2 + ridge * np.eye(d)
         weights = mass / mass.sum()
-        if likelihood - before < 1e-6 * total:
+        renew = likelihood - before < 1e-6 * total
+        # settled, if it is so with the sharers of these parameters as well
+        if renew and (renewed or k <= SHARERS):
             break
         before = likelihood
     return likelihood, weights, centres, covariances
 
 
-def _ladder(most: int) -> Iterator[int]:
-    """1, 2, 4, 8, 12, 16, 24, 32, 48, .. up to ``most``."""
+def _ladder(most: int | None, cells: int) -> Iterator[int]:
+    """1, 2, 4, 8, 12, 16, 24, 32, 48, .. up to ``most``; without it, up to the number of cells, and that number."""
+    if most is None:
+        yield from (k for k in _ladder(cells, cells) if k < cells)
+        yield cells
+        return
     yield from (k for k in (1, 2, 4) if k <= most)
     step = 8
     while step <= most:
@@ -208,7 +244,7 @@ def fit_mixture(
     features: Sequence[str],
     *,
     components: Sequence[int] | None = None,
-    most: int = 1024,
+    most: int | None = None,
     patience: int = 3,
     explained: float = 0.99,
     ridge: float = 1e-3,
@@ -220,8 +256,8 @@ def fit_mixture(
     """The mixture whose number of components has the least Bayesian information criterion.
 
     The numbers 1, 2, 4, 8, 12, 16, 24, 32, 48, .. are tried until ``patience`` of
-    them in a row don't improve on the best, or every cell could have a component
-    of its own. If the best is among the last before ``most``, so that the
+    them in a row don't improve on the best, or every cell has a component of its
+    own. With ``most``, if the best is among the last before it, so that the
     criterion wasn't seen to rise again, it is an error. A given list of
     ``components`` is tried as it stands, with a warning if its last is the best
     (``settled`` tells). ``df`` must hold finite numbers in ``features``; all rows
@@ -235,7 +271,7 @@ def fit_mixture(
         return None
     mean, scale, axes, n, first, second = summary
     d, best, criterion, idle = first.shape[1], None, {}, 0
-    for k in _ladder(most) if components is None else sorted(set(components)):
+    for k in _ladder(most, len(n)) if components is None else sorted(set(components)):
         if k > len(n) or (components is None and idle == patience):
             break
         likelihood, weights, centres, covariances = max((_fit(n, first, second, k, ridge, rounds, seed + i) for i in range(starts if k > 1 else 1)), key=lambda x: x[0])
@@ -246,7 +282,7 @@ def fit_mixture(
             best, idle = (criterion[k], weights, centres, covariances), 0
     if idle == 0 and len(n) > max(criterion) > 1:
         said = f"the criterion still falls at {max(criterion)} components, the last number tried"
-        if components is None and 2 * max(criterion) > most:
+        if components is None and most is not None and 2 * max(criterion) > most:
             raise ValueError(said)
         warnings.warn(said, stacklevel=2)
     _, weights, centres, covariances = best
@@ -277,8 +313,8 @@ def usable_points(df: DataFrame, item: str, features: Sequence[str], lowest: flo
 def divide(points: DataFrame, mixture: Mixture) -> DataFrame:
     """``points`` with ``cluster_id`` (most probable component, from 1) and ``log_density``.
 
-    Rows are scored in batches against all components; the coefficients of at most
-    a thousand components go along with the tasks.
+    Rows are scored in batches against all components, whose coefficients go along
+    with the tasks.
     """
     features = list(mixture.features)
     # bounds the memory of a batch
@@ -386,12 +422,11 @@ def linked_groups(assigned: DataFrame, *, tolerance: float, resolution: float =
     unit = float(1 / resolution)
     rows = assigned.select("item", "cluster_id", F.round(F.col("f0") * unit).cast("long").alias("x"), F.round(F.col("f1") * unit).cast("long").alias("y"))
     rows = rows.withColumn("cx", F.floor(F.col("x") / steps)).withColumn("cy", F.floor(F.col("y") / steps))
-    # (cluster, cx, cy) as one number: cells of the plane number below 2^28 a side
-    key = (F.col("cluster_id").cast("long") * F.lit(2**52) + (F.col("cx") + 2**25) * F.lit(2**26) + F.col("cy") + 2**25).alias("cell")
-    rows = rows.select("item", "x", "y", "cx", "cy", "cluster_id", key)
-    by_x = rows.groupBy("cell", "cluster_id", "cx", "cy", "x").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("n"), F.min("item").alias("least"))
-    cells = by_x.groupBy("cell", "cluster_id", "cx", "cy").agg(F.collect_list(F.struct("x", "low", "high")).alias("points"), F.sum("n").alias("n"), F.min("least").alias("least"))
-    cells = cut_lineage(cells.withColumn("tx", F.floor(F.col("cx") / TILE)).withColumn("ty", F.floor(F.col("cy") / TILE)).withColumn("tolerance", F.lit(steps)))
+    place = ["cluster_id", "cx", "cy"]
+    by_x = rows.groupBy(*place, "x").agg(F.min("y").alias("low"), F.max("y").alias("high"), F.count(F.lit(1)).alias("n"), F.min("item").alias("least"))
+    cells = by_x.groupBy(*place).agg(F.collect_list(F.struct("x", "low", "high")).alias("points"), F.sum("n").alias("n"), F.min("least").alias("least"))
+    # written with their numbers, which are drawn once
+    cells = cut_lineage(cells.withColumn("cell", F.monotonically_increasing_id()).withColumn("tx", F.floor(F.col("cx") / TILE)).withColumn("ty", F.floor(F.col("cy") / TILE)).withColumn("tolerance", F.lit(steps)))
     local = cells.groupBy("cluster_id", "tx", "ty").applyInPandas(_local_groups, "cell long, group long")
     grouped = cut_lineage(cells.join(local, "cell"))
     # links between blocks: a cell looks ahead to four neighbours and to itself under other clusters
@@ -410,5 +445,5 @@ def linked_groups(assigned: DataFrame, *, tolerance: float, resolution: float =
     joined = connected_components(met.select("group", "group_2").distinct(), left="group", right="group_2")
     final = grouped.join(joined.withColumnRenamed("node", "group"), "group", "left").withColumn("final", F.coalesce("component", "group"))
     sizes = final.groupBy("final").agg(F.sum("n").alias("group_size"), F.min("least").alias("group_key")).filter(F.col("group_size") >= least_size)
-    of_cell = final.join(sizes, "final").select("cell", "group_key", "group_size")
-    return rows.select("item", "cell").join(of_cell, "cell").select("item", "group_key", "group_size")
+    of_cell = final.join(sizes, "final").select(*place, "group_key", "group_size")
+    return rows.select("item", *place).join(of_cell, place).select("item", "group_key", "group_size")
